@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, sharding, token_counts
+from . import bpe, exact_dedup, mixing, quality_rules, sharding, simhash, token_counts
 from .common import documents
 
 
@@ -37,6 +37,11 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return simhash.near_groups(docs, shingle=3, words=1, radius=3).select("doc_id", "fingerprint", "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixing.mix_counts(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -86,11 +91,23 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(docs, shards=24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+#: The vocabularies of the quality rules: for ASCII texts, and for others.
+FERTILITY = ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    judged = quality_rules.judge(docs, tuple(map(vocabulary, FERTILITY)))
+    return judged.select("doc_id", *quality_rules.METRICS, "base_failed", "kept")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op6_mixing": OP6_SQL}
