@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_rules, sharding, simhash, token_counts
-from .common import documents
+from . import bpe, exact_dedup, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, token_counts
+from .common import documents, labels
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -37,6 +37,12 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    marks = labels(spark, sf_dir).select("doc_id", "quality")
+    return quality_classifier.classify(docs, marks).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return simhash.near_groups(docs, shingle=3, words=1, radius=3).select("doc_id", "fingerprint", "component_id")
@@ -91,6 +97,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(docs, shards=24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return license_scan.scan(docs).drop("text", "detections")
+
+
 #: The vocabularies of the quality rules: for ASCII texts, and for others.
 FERTILITY = ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken")
 
@@ -104,10 +115,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op6_mixing": OP6_SQL}
