@@ -50,7 +50,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Larger intermediate tables: Parquet in the shared folder, read back with its schema known."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -104,6 +104,29 @@ def with_text_columns(
     return df.mapInArrow(run, schema)
 
 
+def flat_text_rows(
+    df: DataFrame,
+    schema: StructType,
+    build: Callable[[], Callable[[pa.Array, pa.RecordBatch], dict]],
+    text_col: str = "text",
+) -> DataFrame:
+    """Any number of rows for each chunk of texts (null read as empty): build() returns a function
+    from the texts and the chunk's batch to the lists of schema's columns."""
+    at = [f.name.lower() for f in df.schema.fields].index(text_col.lower())
+
+    def run(batches):
+        work = None
+        for batch in batches:
+            texts = pc.fill_null(batch.column(at).cast(pa.binary()), b"")
+            for lo, hi in chunks(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+                work = work or build()
+                new = work(texts.slice(lo, hi - lo), batch.slice(lo, hi - lo))
+                cols = [new[f.name] if isinstance(new[f.name], pa.Array) else pa.array(new[f.name], type=arrow_type(f)) for f in schema]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def arrow_type(field: StructField) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, token_counts
+from . import bpe, exact_dedup, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts
 from .common import documents, labels
 
 
@@ -43,6 +43,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, marks).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, length=200)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return simhash.near_groups(docs, shingle=3, words=1, radius=3).select("doc_id", "fingerprint", "component_id")
@@ -116,6 +121,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
