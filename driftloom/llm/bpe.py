@@ -47,6 +47,7 @@ class ByteBPE:
             self._from_ranks(path)
         order = np.argsort(self.keys)
         self.keys, self.ranks = self.keys[order], self.ranks[order]
+        self.shared = np.array(range(self.width), dtype=object)  # one number object for each id
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 

@@ -81,7 +81,7 @@ def fertility_of(path: str):
     def compute(words):
         ids, at = bpe.merge(words)
         sums = np.concatenate(([0], np.cumsum(part[ids])))
-        parts, flat, cut = (sums[at[1:]] - sums[at[:-1]]).tolist(), ids.tolist(), at.tolist()
+        parts, flat, cut = (sums[at[1:]] - sums[at[:-1]]).tolist(), bpe.shared[ids].tolist(), at.tolist()
         return [(tuple(flat[a:b]), n) for a, b, n in zip(cut, cut[1:], parts, strict=False)]
 
     return compute
@@ -89,7 +89,7 @@ def fertility_of(path: str):
 
 @lru_cache(4)
 def pieces(path: str) -> Memo:
-    return Memo(fertility_of(path), most=150_000)
+    return Memo(fertility_of(path), most=40_000)
 
 
 def measure(df: DataFrame, paths: tuple[str, str], text_col: str = "text") -> DataFrame:
