@@ -26,7 +26,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
 
     Targets divide share * (all words) by weight; one that would be above most * (its source's size)
     stops there, and what is left is divided among the rest, so that all unstopped targets are the
-    same multiple of their weights. Only the table of sources meets in one task.
+    same multiple of their weights. Taken in order of cap / weight, the multiple that is left for a
+    source and those after it rises while sources stop and falls behind them: the greatest is right.
+    Only the table of sources meets in one task.
     """
     ordered = Window.orderBy(F.col("source").asc_nulls_last())
     by_stop = Window.orderBy("stop_at", F.col("source").asc_nulls_last())
@@ -40,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
         F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
     per = per.withColumn("level", level)
-    per = per.withColumn("level", F.min(F.when(F.col("stop_at") >= F.col("level"), F.col("level"))).over(every))
+    per = per.withColumn("level", F.max("level").over(every))
     target = F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("level"), F.col("cap")))
     rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0))
     return per.select("source", "source_size", target.alias("target"), rate.alias("rate"))

@@ -78,7 +78,7 @@ l AS (
   FROM c WINDOW b AS (ORDER BY stop_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
   SELECT source, source_size,
-         least(cap, coalesce(weight * min(CASE WHEN stop_at >= lev THEN lev END) OVER (), cap)) AS target FROM l),
+         least(cap, coalesce(weight * max(lev) OVER (), cap)) AS target FROM l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
 j AS (
   SELECT d.doc_id, d.size, d.coins, r.* FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
