@@ -8,20 +8,16 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
-def _hung_on(links: DataFrame, least: DataFrame) -> DataFrame:
-    return links.join(least, "u")
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _hung_on(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = _hung_on(down, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = checkpointed(down.groupBy("u").agg(F.min("v").alias("m")))
+    hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -29,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the smallest node of its component.
 
     Each round takes the least neighbour of every node by a combined aggregate and hangs the other
-    neighbours on it by a join, so a node with very many neighbours is never gathered in one place.
+    neighbours on it by a join, so a node with very many neighbours is never gathered in one place:
+    the aggregate is checkpointed before, which leaves the join free to be split.
     The rounds grow with the logarithm of the longest chain. An empty table gives an empty table;
     loops, repeated and reversed links do not matter; links with a null end are left out.
     """
