@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import session_queries
+from . import session_queries, text_queries
 
-MODULES = (session_queries,)
+MODULES = (session_queries, text_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
