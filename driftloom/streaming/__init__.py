@@ -1 +1 @@
-
+"""Session state over streams of observations."""
