@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import with_text_columns
+from .common import REMEMBERING, with_text_columns
 
 #: How byte-level vocabularies split a text before merging (fixed value, published with them).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,7 +27,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 STABLE = "԰"
 NONE = np.int32(2**31 - 1)
 #: Words that a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -162,6 +162,10 @@ class Memo:
 
     def __init__(self, compute, most: int = REMEMBERED):
         self.compute, self.most, self.new, self.old = compute, most, {}, {}
+        REMEMBERING.append(self)
+
+    def clear(self) -> None:
+        self.new, self.old = {}, {}
 
     def table(self, words: set[str]) -> dict:
         """A value for each of words; the dictionary may hold others too."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a Python worker unfolds into words at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,21 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: What tasks of a Python worker remember; cleared when a task ends.
+REMEMBERING: list = []
+
+
+def release() -> None:
+    """Give memory back when a task ends: idle workers of a past stage count against the executor."""
+    for memo in REMEMBERING:
+        memo.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only in some C libraries
+        pass
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a temporary one only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -100,6 +117,8 @@ def with_text_columns(
                 kept = [batch.column(i).slice(lo, hi - lo) for i in place]
                 made = [new[f.name] if isinstance(new[f.name], pa.Array) else pa.array(new[f.name], type=arrow_type(f)) for f in fields]
                 yield pa.RecordBatch.from_arrays(kept + made, names=schema.names)
+        work = None
+        release()
 
     return df.mapInArrow(run, schema)
 
