@@ -268,16 +268,19 @@ def near_groups(
     df = without(df, {"fingerprint", "component_id", *fps})
     marked = with_fingerprints(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")), shingle, words, distinct).drop("text")
     marked = written(marked, "fingerprints")
-    hexed = F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in fps]))
-    found = component_ids(marked, words, radius, similarity, hexed)
+    found = component_ids(marked, words, radius, similarity, hexed(words))
     if df.columns == [id_col] or set(df.columns) == {id_col, text_col}:
-        rows = marked.select(F.col("i").alias(id_col), hexed.alias("fingerprint"))
+        rows = marked.select(F.col("i").alias(id_col), hexed(words).alias("fingerprint"))
         return rows.join(found, "fingerprint").select(id_col, "fingerprint", "component_id")
     rows = with_fingerprints(df, shingle, words, distinct, text_col)
-    return rows.withColumn("fingerprint", hexed).drop(*fps).join(found, "fingerprint")
+    return rows.withColumn("fingerprint", hexed(words)).drop(*fps).join(found, "fingerprint")
 
 
-def component_ids(marked: DataFrame, words: int, radius: int, similarity: float | None, hexed: Column) -> DataFrame:
+def hexed(words: int) -> Column:
+    return F.lower(F.concat(*[F.lpad(F.hex(f"fp{k}"), 16, "0") for k in range(words)]))
+
+
+def component_ids(marked: DataFrame, words: int, radius: int, similarity: float | None, name: Column) -> DataFrame:
     """(fingerprint, component_id) for the distinct fingerprints of marked (i, fp0, ...)."""
     fps = [f"fp{k}" for k in range(words)]
     nodes = written(marked.groupBy(*fps).agg(F.min("i").alias("least")), "nodes")
@@ -292,12 +295,22 @@ def component_ids(marked: DataFrame, words: int, radius: int, similarity: float
         both = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
         rows = rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(both).alias("key"), *fps)
     roots = components(written(bucket_edges(rows, words, radius), "links"))
-    named = nodes.select(hexed.alias("fingerprint"), "least").join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    named = nodes.select(name.alias("fingerprint"), "least").join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = checkpointed(named.withColumn("root", F.coalesce("root", "fingerprint")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return named.join(least, "root").select("fingerprint", "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of df whose id is the least of their component, with the columns of df."""
-    return near_groups(df, id_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select([F.col(f"`{c}`") for c in df.columns])
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, radius: int = 3, similarity: float | None = None, distinct: bool = False) -> DataFrame:
+    """The rows of df whose id is the least of their component, with the columns of df.
+
+    Which rows those are is found on narrow rows of id and fingerprint; texts move once, in a join.
+    """
+    fps = [f"fp{k}" for k in range(words)]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    narrow = df.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("th"), text.alias("text"))
+    marked = written(with_fingerprints(narrow, shingle, words, distinct).drop("text"), "fingerprints")
+    found = component_ids(marked, words, radius, similarity, hexed(words))
+    stay = marked.withColumn("fingerprint", hexed(words)).drop(*fps).join(found, "fingerprint").where(F.col("i").eqNullSafe(F.col("component_id")))
+    stay = stay.select(F.col("i").alias("_i"), F.col("th").alias("_th"))
+    return df.join(stay, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_th")), "left_semi")
