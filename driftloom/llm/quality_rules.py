@@ -166,5 +166,9 @@ def judge(df: DataFrame, paths: tuple[str, str], text_col: str = "text", lang_co
 
 def keep_good(df: DataFrame, paths: tuple[str, str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of df that the rules keep, with the columns of df."""
-    boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    added = {*METRICS, "n_tokens", "chars_per_token", "byte_share", "token_entropy", "latin_share", "base_failed", "kept"}
+    if not added & {c.lower() for c in df.columns}:
+        return judge(df, paths, text_col, lang_col).where("kept").select(own)
+    boxed = df.select(F.struct(*own).alias("_row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return judge(boxed, paths).where("kept").select("_row.*")
