@@ -276,12 +276,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = text_runs(rows, length)
     often = runs.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), F.min("rh").alias("low"), F.max("rh").alias("high"))
     often = often.where("n > 1").select("ah", (F.col("low") != F.col("high")).alias("mixed"))
-    again = written(runs.join(often, "ah"), "runs")
+    # both counts are written before they are joined: in one stage with the aggregate, Spark could not
+    # split the rows of a hot anchor
+    again = written(runs.join(written(often, "anchors"), "ah"), "runs")
     place = F.xxhash64("i", "th", "lo")
     mixed = again.where("mixed").withColumn("place", place)
     kinds = mixed.groupBy("ah", "rh").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
     # a run without an equal is open; of equal ones the first stands for all
-    unsure = mixed.join(kinds, ["ah", "rh"]).select("i", "th", F.struct("lo", "hi", F.when(F.col("place") == F.col("first"), F.col("ah")).alias("ah"), (F.col("n") == 1).alias("open")).alias("run"))
+    unsure = mixed.join(written(kinds, "kinds"), ["ah", "rh"]).select("i", "th", F.struct("lo", "hi", F.when(F.col("place") == F.col("first"), F.col("ah")).alias("ah"), (F.col("n") == 1).alias("open")).alias("run"))
     sure = again.where("not mixed").select("i", "th", F.struct("lo", "hi", F.lit(None).cast("long").alias("ah"), F.lit(False).alias("open")).alias("run"))
     lists = unsure.union(sure).groupBy("i", "th").agg(F.collect_list("run").alias("runs"))
     lists = lists.select(F.col("i").alias("_i"), F.col("th").alias("_th"), "runs")
