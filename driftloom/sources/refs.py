@@ -65,3 +65,61 @@ def collect_garbage(store: DataFrame, reachable: DataFrame, now: float, grace: f
     old = loose.where(F.lit(now) - F.col("created_at") > grace)
     ordered = running_total(old, list(order), "byte_len", "_before")
     return ordered.join(F.broadcast(live)).where(F.col("_live") - F.col("_before") > most).drop("_live", "_before")
+
+
+class RefStore:
+    """A store in a folder of Parquet files: originals and what is known of them. Puts are appended, and
+    collection and accesses write a new generation and then name it current."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm.org.apache.hadoop.fs.Path, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def generation(self) -> int:
+        """The latest generation that was written in full; 0 for none."""
+        Path, fs = self._fs()
+        if not fs.exists(Path(self.path)):
+            return 0
+        names = [s.getPath().getName() for s in fs.listStatus(Path(self.path)) if s.isDirectory()]
+        return max((int(n[4:]) for n in names if n.startswith("gen=") and fs.exists(Path(f"{self.path}/{n}/_SUCCESS"))), default=0)
+
+    def rows(self) -> DataFrame:
+        k = self.generation()
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/gen={k}") if k else self.spark.createDataFrame([], SCHEMA)
+
+    def _replace(self, rows: DataFrame) -> None:
+        rows.select(*self.spark.createDataFrame([], SCHEMA).columns).write.parquet(f"{self.path}/gen={self.generation() + 1}")
+
+    def put(self, incoming: DataFrame) -> None:
+        """incoming: original, source_uuid, session_id, kind, created_at."""
+        text = F.col("original")
+        full = incoming.withColumns(
+            {"ref_id": F.concat(F.lit("sha256:"), F.sha2(text, 256)), "byte_len": F.octet_length(text).cast("long"), "token_estimate": F.ceil(F.char_length(F.decode(text, "UTF-8")) / F.lit(3.5)).cast("long"), "last_access_at": F.col("created_at"), "access_count": F.lit(0).cast("long"), "pinned": F.lit(False)}
+        )
+        first = full.groupBy("ref_id").agg(F.min(F.struct("created_at", "source_uuid", "session_id", "kind", "byte_len", "token_estimate", "last_access_at", "access_count", "pinned", "original")).alias("f")).select("ref_id", "f.*")
+        new = first.join(self.rows().select("ref_id"), "ref_id", "left_anti")
+        self._replace(self.rows().unionByName(new.select(*self.rows().columns)))
+
+    def retrieve(self, session_id: str, ref_id: str, now: float, query: str | None = None) -> str | None:
+        """The original, or its passages that suit the query; None for a miss. A hit is counted."""
+        from ..operators.search import search_within
+
+        found = self.rows().where((F.col("ref_id") == ref_id) & (F.col("session_id") == session_id)).select(F.decode("original", "UTF-8").alias("doc")).first()
+        if found is None:
+            return None
+        asked = self.spark.createDataFrame([(ref_id, session_id, now)], "ref_id string, session_id string, now double")
+        self._replace(touched(self.rows(), asked))
+        if query is None:
+            return found["doc"]
+        return search_within(self.spark.createDataFrame([(found["doc"], query)], "doc string, query string")).first()["found"]
+
+    def pin(self, ref_id: str, pinned: bool = True) -> None:
+        self._replace(self.rows().withColumn("pinned", F.when(F.col("ref_id") == ref_id, F.lit(pinned)).otherwise(F.col("pinned"))))
+
+    def collect(self, reachable: DataFrame, now: float, grace: float = GRACE_SECONDS, most: int = MOST_BYTES) -> None:
+        gone = collect_garbage(self.rows().drop("original"), reachable, now, grace, most).select("ref_id")
+        self._replace(self.rows().join(gone, "ref_id", "left_anti"))

@@ -144,3 +144,31 @@ def test_settings(tmp_path):
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_ref_store(spark, tmp_path):
+    store = refs.RefStore(spark, str(tmp_path / "store"))
+    rows = [(bytearray(b"alpha beta\ngamma\nbeta"), "m1", "s1", "k", 1.0), (bytearray(b"alpha beta\ngamma\nbeta"), "m0", "s2", "k", 5.0), (bytearray(b"other"), "m2", "s1", "k", 2.0)]
+    store.put(spark.createDataFrame(rows, "original binary, source_uuid string, session_id string, kind string, created_at double"))
+    held = {r["source_uuid"]: r["ref_id"] for r in store.rows().collect()}
+    assert set(held) == {"m1", "m2"}  # the first writer of an address wins
+    assert store.retrieve("s2", held["m1"], now=9.0) is None
+    assert store.retrieve("s1", held["m1"], now=9.0) == "alpha beta\ngamma\nbeta"
+    assert store.retrieve("s1", held["m1"], now=8.0, query="gamma") == "gamma"
+    counted = store.rows().where(F.col("ref_id") == held["m1"]).first()
+    assert (counted["access_count"], counted["last_access_at"]) == (2, 9.0)
+    assert [r["ref_id"] for r in refs.hot_refs(store.rows()).collect()] == [held["m1"]]
+    store.pin(held["m1"])
+    store.collect(spark.createDataFrame([], "ref_id string"), now=9_999.0, grace=1.0, most=0)
+    assert [r["source_uuid"] for r in store.rows().collect()] == ["m1"]
+
+
+def test_summarizer_folds_and_summarises(spark):
+    from driftloom.operators.summarizer import Extractive
+
+    df = spark.sql("select named_struct('in_flight', 'old', 'x', 1) as state, array('a', 'fix it\nnow') as turns, cast(array() as array<string>) as none")
+    out = df.select(Extractive().fold(F.col("state"), F.col("turns")).alias("a"), Extractive().fold(F.col("state"), F.col("none")).alias("b")).first()
+    assert (out["a"]["in_flight"], out["b"]["in_flight"], out["a"]["x"]) == ("fix it", "old", 1)
+    text = "first line\n" + "word " * 80 + "extraordinary\nlast line"
+    d = spark.createDataFrame([(text,)], "t string").select(Extractive().decide(F.col("t"), F.expr("cast(array() as array<string>)")).alias("d")).first()["d"]
+    assert d["choice"] == "summarize" and d["summary_content"].startswith("first line\nabout: extraordinary") and d["summary_content"].endswith("last line")
