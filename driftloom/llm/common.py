@@ -142,6 +142,9 @@ def flat_text_rows(
                 new = work(texts.slice(lo, hi - lo), batch.slice(lo, hi - lo))
                 cols = [new[f.name] if isinstance(new[f.name], pa.Array) else pa.array(new[f.name], type=arrow_type(f)) for f in schema]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                del new, cols
+        work = None
+        release()
 
     return df.mapInArrow(run, schema)
 

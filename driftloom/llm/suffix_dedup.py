@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, flat_text_rows, written
+from .common import checkpointed, flat_text_rows, release, written
 
 #: Bytes that are hashed to choose anchors. A window of `length` bytes holds length - GRAM + 1 grams.
 GRAM = 32
 INDEX_BITS = np.uint64(31)
 #: Runs whose windows make one suffix array, and runs after which a task starts a new family.
-BATCH_RUNS, FAMILY_RUNS = 1_024, 8_192
+BATCH_RUNS, FAMILY_RUNS = 1_024, 4_096
 #: Runs of one anchor that a task holds; the windows of an anchor with more are grouped by hash.
 HOT = 10_000
 
@@ -218,6 +218,8 @@ def family_windows(pieces: DataFrame, length: int) -> DataFrame:
                 held.append(row)
         if held:
             yield search(held)
+        held.clear()
+        release()
 
     return pieces.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, WINDOWS)
 
