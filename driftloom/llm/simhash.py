@@ -297,7 +297,8 @@ def component_ids(marked: DataFrame, words: int, radius: int, similarity: float
     roots = components(written(bucket_edges(rows, words, radius), "links"))
     named = nodes.select(name.alias("fingerprint"), "least").join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = checkpointed(named.withColumn("root", F.coalesce("root", "fingerprint")))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # checkpointed, so that the join with a hot root can be split
+    least = checkpointed(named.groupBy("root").agg(F.min("least").alias("component_id")))
     return named.join(least, "root").select("fingerprint", "component_id")
 
 
