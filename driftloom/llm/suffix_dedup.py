@@ -161,9 +161,8 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-RUNS = "i string, th int, ah long, rh long, lo int, hi int"
-PIECE = "ah long, i string, th int, lo int, open boolean, piece binary"
-WINDOWS = "i string, th int, a int, b int"
+RUNS = "i string, th long, ah long, rh long, lo int, hi int"
+WINDOWS = "i string, th long, a int, b int"
 
 
 def text_runs(rows: DataFrame, length: int) -> DataFrame:
@@ -205,7 +204,7 @@ def family_windows(pieces: DataFrame, length: int) -> DataFrame:
                 out += [(i, th, lo + a, lo + b) for a, b in zip(*map(np.ndarray.tolist, ranges(flags[at : at + n])), strict=True)]
             at += n
         cols = zip(*out, strict=True) if out else ((),) * 4
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["i", "th", "a", "b"])
 
     def run(batches):
@@ -234,9 +233,9 @@ def hashed_windows(pieces: DataFrame, length: int) -> DataFrame:
                 names = [xxhash.xxh3_128_digest(piece[p : p + length]) for p in range(len(piece) - length + 1)]
                 n = len(names)
                 places = pa.array(range(lo, lo + n), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([i] * n, pa.string()), pa.array([th] * n, pa.int32()), places, pa.array([unsure] * n)], names=["name", "i", "th", "a", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([i] * n, pa.string()), pa.array([th] * n, pa.int64()), places, pa.array([unsure] * n)], names=["name", "i", "th", "a", "open"])
 
-    windows = pieces.mapInArrow(run, "name binary, i string, th int, a int, open boolean")
+    windows = pieces.mapInArrow(run, "name binary, i string, th long, a int, open boolean")
     twice = windows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
     return windows.where("open").join(twice, "name").select("i", "th", "a", F.col("a").alias("b"))
 
@@ -274,7 +273,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"length must be over {GRAM}")
     kind = df.schema[id_col].dataType
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).cast("string").alias("i"), F.hash(text).alias("th"), text.alias("text"))
+    rows = df.select(F.col(id_col).cast("string").alias("i"), F.xxhash64(text).alias("th"), text.alias("text"))
     runs = text_runs(rows, length)
     often = runs.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), F.min("rh").alias("low"), F.max("rh").alias("high"))
     often = often.where("n > 1").select("ah", (F.col("low") != F.col("high")).alias("mixed"))
@@ -309,7 +308,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def judged(joined: DataFrame, length: int, with_kept: bool) -> DataFrame:
     """Rows without open runs are finished; others keep their text and the windows known to repeat.
     pieces: the bytes of the runs that have to be compared."""
-    schema = T._parse_datatype_string(f"i string, th int, text binary, runs array<struct<a int, b int>>, pieces array<struct<ah long, lo int, open boolean, piece binary>>, {RESULT}")
+    schema = T._parse_datatype_string(f"i string, th long, text binary, runs array<struct<a int, b int>>, pieces array<struct<ah long, lo int, open boolean, piece binary>>, {RESULT}")
 
     def build():
         def work(texts: pa.Array, batch: pa.RecordBatch) -> dict:
