@@ -75,7 +75,7 @@ LICENSES = [
 ]
 #: Sentences around a name: how certain they make it (0 to 100), before it, after it (fixed values).
 FRAMES = [
-    (95, rb"(?:licen[sc]ed|released|distributed|published|available|provided)\s+under\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?", rb"(?:[\s,]+version\s+\d[\d.]*)?(?:\s+or\s+(?:any\s+)?later)?"),
+    (95, rb"(?:licen[sc]ed|released|distributed|published|available|provided)\s+under\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?", rb"(?:[\s,]+(?:version|v)\s*\d[\d.]*)?(?:\s+or\s+(?:any\s+)?later)?"),
     (90, rb"subject\s+to\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?", rb"(?:[\s,]+(?:version|v)\s*\d[\d.]*)?"),
     (85, rb"(?:a\s+copy|copies)\s+of\s+the\s+", rb""),
     (80, rb"", rb"[\s,]+(?:version|v)\s*\d[\d.]*(?:\s+or\s+(?:any\s+)?later)?"),
