@@ -57,6 +57,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders that written() made in this process, for clear_scratch().
+SCRATCH: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of results that are no longer needed."""
+    jvm = spark.sparkContext._jvm
+    while SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Small tables of an iteration: a reliable checkpoint in the shared folder cuts the lineage."""
     scratch_dir(df.sparkSession)
@@ -67,6 +79,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Larger intermediate tables: Parquet in the shared folder, read back with its schema known."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    SCRATCH.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -179,10 +179,12 @@ def test_suffix_dedup_brute_force(spark):
 
 
 def test_suffix_dedup_hot_anchor(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
     rng = random.Random(4)
-    passage = "".join(rng.choices("abcdefgh ", k=130))
-    texts = ["".join(rng.choices("abcdefgh ", k=90)) + passage + "".join(rng.choices("abcdefgh ", k=90)) for _ in range(60)]
+    passage = "".join(rng.choices("abcdefgh ", k=330))
+    cut = lambda: passage[rng.choice([0, 0, 3, 40]) : rng.choice([330, 330, 200, 151])]
+    noise = lambda: "".join(rng.choices("abcdefgh ", k=rng.choice([1, 5, 90])))
+    texts = [noise() + cut() + noise() + rng.choice(["", passage[100:290]]) for _ in range(60)] + ["ab" * 150, "ab" * 99]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert results(suffix_dedup.remove_repeats(df, length=100)) == removed(texts, 100)
 
@@ -419,6 +421,18 @@ def test_empty_tables(spark):
     assert [f.count() for f in frames] == [0] * len(frames)
 
 
+def test_scratch_is_cleared(spark):
+    from pathlib import Path
+
+    from driftloom.llm import common
+
+    table = common.written(spark.range(3), "x")
+    path = Path(common.SCRATCH[-1])
+    assert table.count() == 3 and path.exists()
+    common.clear_scratch(spark)
+    assert not path.exists() and not common.SCRATCH
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_sql(spark, name):
     assert spark_rows(queries.QUERIES[name](spark, SF)) == sql_rows(queries.ORACLES[name], "sf0.001")
