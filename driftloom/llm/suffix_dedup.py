@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import checkpointed, flat_text_rows, release, written
 
@@ -18,8 +19,10 @@ GRAM = 32
 INDEX_BITS = np.uint64(31)
 #: Runs whose windows make one suffix array, and runs after which a task starts a new family.
 BATCH_RUNS, FAMILY_RUNS = 1_024, 4_096
-#: Runs of one anchor that a task holds; the windows of an anchor with more are grouped by hash.
-HOT = 10_000
+#: Runs of one anchor that a task holds; those of an anchor with more are settled in blocks of windows.
+HOT = 1_000
+#: Windows in a block, level by level; the last settles all.
+STEPS = (16, 4, 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -223,21 +226,65 @@ def family_windows(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, WINDOWS)
 
 
-def hashed_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """What family_windows gives, for anchors with too many runs for one task: every window is a row
-    named by 128 bits of its hash, and rows are counted by name, combined before the shuffle."""
+def anchor_of(piece: bytes, length: int) -> int:
+    """Where in a run's bytes its anchor is."""
+    h = gram_hashes(np.frombuffer(piece, np.uint8))[: length - GRAM + 1] >> INDEX_BITS
+    return len(h) - 1 - int(np.argmin(h[::-1]))
+
+
+BLOCK = "c1 long, c2 long, e1 long, e2 long, i string, th long, lo int, at int, open boolean, piece binary"
+
+
+def window_blocks(rows: DataFrame, length: int, step: int) -> DataFrame:
+    """Rows (i, th, lo, at, open, piece) cut into blocks of `step` windows by their offset from the
+    anchor, with 128-bit hashes of the block's core and of all its bytes. The core is what every
+    window of the block holds: windows that are equal lie in blocks with equal cores."""
+
+    schema = to_arrow_schema(T._parse_datatype_string(BLOCK))
 
     def run(batches):
         for batch in batches:
-            for _, i, th, lo, unsure, piece in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                names = [xxhash.xxh3_128_digest(piece[p : p + length]) for p in range(len(piece) - length + 1)]
-                n = len(names)
-                places = pa.array(range(lo, lo + n), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([i] * n, pa.string()), pa.array([th] * n, pa.int64()), places, pa.array([unsure] * n)], names=["name", "i", "th", "a", "open"])
-
-    windows = pieces.mapInArrow(run, "name binary, i string, th long, a int, open boolean")
-    twice = windows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    return windows.where("open").join(twice, "name").select("i", "th", "a", F.col("a").alias("b"))
+            out = []
+            for i, th, lo, at, unsure, piece in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                at = anchor_of(piece, length) if at is None else at
+                n = len(piece) - length + 1
+                for block in range((at - n + 1) // step, at // step + 1):
+                    first, last = max(0, at - block * step - step + 1), min(n - 1, at - block * step)
+                    core = piece[at - block * step : at - block * step - step + 1 + length]
+                    part = piece[first : last + length]
+                    hashes = np.frombuffer(xxhash.xxh3_128_digest(core) + xxhash.xxh3_128_digest(part), np.int64).tolist()
+                    out.append((*hashes, i, th, lo + first, at - first, unsure, part))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    return rows.select("i", "th", "lo", "at", "open", "piece").mapInArrow(run, BLOCK)
+
+
+def settled_blocks(pieces: DataFrame, length: int) -> DataFrame:
+    """What family_windows gives, for anchors with too many runs for one task.
+
+    Blocks whose core occurs once hold no repeat. Blocks with an equal repeat as a whole. What is
+    left, blocks with a common core that differ around it, is cut into smaller blocks; blocks of one
+    window are their own core. All counts are combined before the shuffle, and all joins are of
+    tables, so that no core or anchor is one task's.
+    """
+    rows, found = pieces.withColumn("at", F.lit(None).cast("int")), []
+    windows = ("i", "th", F.col("lo").alias("a"), (F.col("lo") + F.octet_length("piece") - length).cast("int").alias("b"))
+    for step in STEPS:
+        blocks = written(window_blocks(rows, length, step), "blocks")
+        cores = blocks.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), *[f(e).alias(f"{name}_{e}") for e in ("e1", "e2") for name, f in (("low", F.min), ("high", F.max))])
+        cores = cores.where("n > 1").select("c1", "c2", F.expr("low_e1 <> high_e1 or low_e2 <> high_e2").alias("mixed"))
+        again = written(blocks.join(written(cores, "cores"), ["c1", "c2"]), "again")
+        found.append(again.where("not mixed and open").select(*windows))
+        mixed = again.where("mixed").withColumn("place", F.xxhash64("i", "th", "lo"))
+        kinds = mixed.groupBy("c1", "c2", "e1", "e2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+        both = mixed.join(written(kinds, "kinds"), ["c1", "c2", "e1", "e2"])
+        found.append(both.where("open and n > 1").select(*windows))
+        rows = both.where("n = 1 or place = first").withColumn("open", F.expr("open and n = 1"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -263,7 +310,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs of one anchor hash. Anchors that occur once are dropped. If all runs of an anchor are
     equal, or a run has an equal, all its windows repeat. What is left, runs that share an anchor
     but differ, with one run of each kind of equal ones, goes to a SuffixFamily by anchor, which
-    compares bytes. Counting is combined before shuffles; joins on hot anchors can be split.
+    compares bytes; an anchor with more than HOT of them is settled in blocks instead. Counting is combined before shuffles; joins on hot anchors can be split.
 
     Texts are UTF-8 bytes, null is empty; matches never cross rows; rows shorter than `length` stay
     whole; repeated rows remove each other, also where their ids are null; an empty table gives an
@@ -295,7 +342,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if hot.isEmpty():
         found = family_windows(pieces, length)
     else:
-        found = family_windows(pieces.join(hot, "ah", "left_anti"), length).union(hashed_windows(pieces.join(hot, "ah", "left_semi").select(*pieces.columns), length))
+        found = family_windows(pieces.join(hot, "ah", "left_anti"), length).union(settled_blocks(pieces.join(hot, "ah", "left_semi").select(*pieces.columns), length))
     found = found.groupBy(F.col("i").alias("_i"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("a", "b")).alias("more"))
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
     back = F.col("i").cast(kind).alias(id_col)
