@@ -82,6 +82,8 @@ FRAMES = [
     (70, rb"see\s+(?:the\s+)?", rb"\s+for\s+(?:more\s+)?details"),
     (60, rb"", rb""),
 ]
+#: Words of many names, which tell little when they occur.
+COMMON = frozenset("license licence public software general free open source the this is and".split())
 
 
 @dataclass(frozen=True)
@@ -106,6 +108,13 @@ def spaced(name: str) -> bytes:
     return (rb"(?<!" + IN_WORD + rb")") + GAP.join(re.escape(w.encode()) for w in name.split()) + rb"(?!" + IN_WORD + rb")"
 
 
+def telling(name: str) -> str:
+    """The word of a name that occurs least for other reasons: the longest that is not common, if it is
+    not short; short words are parts of many others."""
+    words = name.split()
+    return max([w for w in words if w not in COMMON and len(w) >= 5] or words, key=len)
+
+
 def rule_table() -> list[Rule]:
     """Every name of a license in every frame, its SPDX tag and its page; and the base phrases."""
     rules = [Rule(label, 50, max(p.split(), key=len), re.compile(spaced(p)), True) for p, label in PHRASES.items()]
@@ -113,8 +122,7 @@ def rule_table() -> list[Rule]:
         rules.append(Rule(label, 100, "spdx-license-identifier", re.compile(rb"spdx-license-identifier:\s*" + re.escape(label.encode()) + rb"(?:-only|-or-later)?(?![\w.-])")))
         rules.append(Rule(label, 98, page, re.compile(re.escape(page.encode()))))
         for name in names:
-            key = max(name.split(), key=len)
-            rules += [Rule(label, priority, key, re.compile(before + spaced(name) + after)) for priority, before, after in FRAMES]
+            rules += [Rule(label, priority, telling(name), re.compile(before + spaced(name) + after)) for priority, before, after in FRAMES]
     return rules
 
 
