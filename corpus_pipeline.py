@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm import bpe, exact_dedup, mixing, quality_rules, simhash
-from driftloom.llm.common import documents
+from driftloom.llm.common import documents, written
 from driftloom.llm.queries import FERTILITY, vocabulary
 
 
@@ -56,7 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents. What a stage keeps is written to the shared folder before the next
+    reads it, as stages read their input several times."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = written(docs, f"stage{k}")
     return docs
