@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, with_text_columns, without, written
+from .common import checkpointed, release, with_text_columns, without, written
 from .components import components
 
 #: The fingerprints of one bucket that a task holds together; larger buckets are dealt in blocks.
@@ -38,6 +40,14 @@ def shingle_hashes(data: bytes, shingle: int, distinct: bool) -> list[int]:
     return list(set(hashes)) if distinct else hashes
 
 
+def shingle_set(data: bytes, shingle: int) -> set[bytes]:
+    """The shingles that shingle_hashes hashes."""
+    words = data.lower().split()
+    if len(words) <= shingle:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)}
+
+
 def more_bits(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th further 64 bits of each hash, by a public integer mixer."""
     if not k:
@@ -48,9 +58,11 @@ def more_bits(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint_texts(texts: list[bytes], shingle: int, words: int, distinct: bool) -> np.ndarray:
-    """(texts, words) uint64: a bit is set if it is set in over half of the shingles' hashes."""
-    out = np.zeros((len(texts), words), np.uint64)
+def fingerprint_texts(texts: list[bytes], shingle: int, words: int, distinct: bool, total: bool = False) -> np.ndarray:
+    """(texts, words) uint64: a bit is set if it is set in over half of the shingles' hashes.
+
+    total: one more word, the sum of the hashes, which with the fingerprint tells sets apart."""
+    out = np.zeros((len(texts), words + total), np.uint64)
     found = [shingle_hashes(t, shingle, distinct) for t in texts]
     size = np.fromiter(map(len, found), np.int64, len(found))
     full = np.flatnonzero(size)
@@ -63,17 +75,21 @@ def fingerprint_texts(texts: list[bytes], shingle: int, words: int, distinct: bo
         votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
         major = 2 * votes > size[full][:, None]
         out[full, k] = np.packbits(major, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    if total:
+        out[full, words] = np.add.reduceat(flat, first)
     return out
 
 
-def with_fingerprints(df: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False, text_col: str = "text") -> DataFrame:
-    """Add fp0, fp1, ... (64 bits each, as signed longs), all 0 for a text without words."""
-    fields = [T.StructField(f"fp{k}", T.LongType()) for k in range(words)]
+def with_fingerprints(df: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False, text_col: str = "text", total: bool = False) -> DataFrame:
+    """Add fp0, fp1, ... (64 bits each, as signed longs), all 0 for a text without words.
+
+    total: also fp<words>, the sum of the shingles' hashes."""
+    fields = [T.StructField(f"fp{k}", T.LongType()) for k in range(words + total)]
 
     def build():
         def work(texts: pa.Array) -> dict:
-            fp = fingerprint_texts(texts.cast(pa.binary()).to_pylist(), shingle, words, distinct).view(np.int64)
-            return {f"fp{k}": pa.array(fp[:, k]) for k in range(words)}
+            fp = fingerprint_texts(texts.cast(pa.binary()).to_pylist(), shingle, words, distinct, total).view(np.int64)
+            return {f"fp{k}": pa.array(fp[:, k]) for k in range(words + total)}
 
         return work
 
@@ -169,12 +185,49 @@ def linked(fps: np.ndarray, end: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def bucket_edges(rows: DataFrame, words: int, radius: int) -> DataFrame:
+def candidates(fps: np.ndarray, end: np.ndarray, radius: int, part: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the radius of each other and in the same bucket: without part, trees of
+    them that span what linked() joins; with part, all whose parts differ."""
+    n = len(fps)
+    root = np.arange(n)
+    planes, rows = Planes(fps), np.arange(n)
+    shift = 1
+    while len(rows := rows[rows + shift < end[rows]]):
+        i = planes.near(shift, rows, radius)
+        if part is not None:
+            i = i[part[i] != part[i + shift]]
+        elif len(i := i[root[i] != root[i + shift]]):
+            up: dict[int, int] = {}
+
+            def top(x):
+                while (y := up.get(x, x)) != x:
+                    x = y
+                return x
+
+            chosen = []
+            for k, x, y in zip(i.tolist(), root[i].tolist(), root[i + shift].tolist(), strict=True):
+                x, y = top(x), top(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    chosen.append(k)
+            to = np.arange(n)
+            for x in up:
+                to[x] = top(x)
+            root, i = to[root], np.array(chosen)
+        if len(i):
+            yield i, i + shift
+        shift += 1
+
+
+def bucket_edges(rows: DataFrame, words: int, radius: int, exact: bool = False) -> DataFrame:
     """Links (u, v) that span the components inside every bucket of rows (key, fp0, ...).
 
     A task reads its buckets in order of their keys and holds some complete ones at a time. Of all
     links in a bucket only a tree is given out, so copies of copies do not make all pairs.
+    exact: rows have one more word to tell them apart, and links are pairs that lie within the radius
+    themselves (see candidates); if they also have a part, all pairs between different parts.
     """
+    wide = len(rows.columns) - 1
 
     def name(fp: np.ndarray) -> list[str]:
         return ["".join(f"{x:016x}" for x in row) for row in fp.tolist()]
@@ -189,6 +242,13 @@ def bucket_edges(rows: DataFrame, words: int, radius: int) -> DataFrame:
                 continue
             first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             n = np.diff(np.append(first, len(k)))
+            if exact:
+                part = f[:, words + 1] if wide > words + 1 else None
+                for i, j in candidates(np.ascontiguousarray(f[:, :words]), np.repeat(first + n, n), radius, part):
+                    for at in range(0, len(i), BATCH):
+                        u, v = name(f[i[at : at + BATCH], : words + 1]), name(f[j[at : at + BATCH], : words + 1])
+                        yield pa.RecordBatch.from_arrays([pa.array(map(min, u, v)), pa.array(map(max, u, v))], names=["u", "v"])
+                continue
             root = linked(f, np.repeat(first + n, n), radius)
             i = np.flatnonzero(root != np.arange(len(root)))
             if len(i):
@@ -198,7 +258,7 @@ def bucket_edges(rows: DataFrame, words: int, radius: int) -> DataFrame:
         held = []
         n = 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(words)], 1)))
+            held.append((batch.column(0).to_numpy(), np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(wide)], 1)))
             n += batch.num_rows
             if n >= BATCH:
                 key, fps = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
@@ -221,7 +281,7 @@ def exact_masks(bits: int, radius: int) -> list[list[int]]:
     return [[*range(edge[i], edge[i + 1]), *range(edge[j], edge[j + 1])] for i, j in combinations(range(radius + 2), 2)]
 
 
-def likely_masks(bits: int, similarity: float, n: int, recall: float = 0.97) -> list[list[int]]:
+def likely_masks(bits: int, similarity: float, n: int, recall: float = 0.998) -> list[list[int]]:
     """Random bit sets of which one agrees with probability `recall` at the given similarity.
 
     14 bits serve up to 2**24 fingerprints; beyond, sets grow with the logarithm of their number.
@@ -255,7 +315,7 @@ def near_groups(
     counted once) are linked at `radius` or fewer differing bits. component_id is the smallest id
     that can be reached over links. Without `similarity` the buckets are exact: they miss no link.
     With it, buckets are random bit sets that hold a pair of that Jaccard similarity with
-    probability 0.97, for radii too wide for exact buckets.
+    probability 0.998, for radii too wide for exact buckets.
 
     Equal fingerprints are one node, so copies cost nothing further. A bucket larger than BLOCK is
     dealt in blocks, every two of which meet in some task; nothing is capped.
@@ -280,20 +340,26 @@ def hexed(words: int) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(f"fp{k}"), 16, "0") for k in range(words)]))
 
 
-def component_ids(marked: DataFrame, words: int, radius: int, similarity: float | None, name: Column) -> DataFrame:
-    """(fingerprint, component_id) for the distinct fingerprints of marked (i, fp0, ...)."""
-    fps = [f"fp{k}" for k in range(words)]
-    nodes = written(marked.groupBy(*fps).agg(F.min("i").alias("least")), "nodes")
-    masks = exact_masks(64 * words, radius) if similarity is None else likely_masks(64 * words, similarity, nodes.count())
+def dealt(nodes: DataFrame, masks: list[list[int]], words: int, cols: list[str]) -> DataFrame:
+    """(key, *cols): every node in each of its buckets, large buckets in blocks of which every two meet."""
     keys = F.explode(F.array(*[bucket_key(t, m, words) for t, m in enumerate(masks)]))
-    rows = nodes.select(keys.alias("key"), *fps)
+    rows = nodes.select(keys.alias("key"), *cols)
     hot = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK))
     if not hot.isEmpty():
         blocks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / BLOCK).cast("int")
-        rows = rows.join(hot, "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(*fps), F.col("blocks")).cast("int"))
+        rows = rows.join(hot, "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(*cols), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         both = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        rows = rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(both).alias("key"), *fps)
+        rows = rows.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(both).alias("key"), *cols)
+    return rows
+
+
+def component_ids(marked: DataFrame, words: int, radius: int, similarity: float | None, name: Column) -> DataFrame:
+    """(fingerprint, component_id) for the distinct fingerprints of marked (i, fp0, ...)."""
+    fps = [f"fp{k}" for k in range(words)]
+    nodes = written(marked.groupBy(*fps).agg(F.min("i").alias("least")), "nodes")
+    masks = exact_masks(64 * words, radius) if similarity is None else likely_masks(64 * words, similarity, nodes.count())
+    rows = dealt(nodes, masks, words, fps)
     roots = components(written(bucket_edges(rows, words, radius), "links"))
     named = nodes.select(name.alias("fingerprint"), "least").join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = checkpointed(named.withColumn("root", F.coalesce("root", "fingerprint")))
@@ -302,16 +368,79 @@ def component_ids(marked: DataFrame, words: int, radius: int, similarity: float
     return named.join(least, "root").select("fingerprint", "component_id")
 
 
+def exactly(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v, near) for pairs (u, v) of nodes: whether the sets of shingles of their texts (node, text)
+    have that Jaccard similarity or more."""
+    least = Fraction(str(similarity))
+
+    def run(batches):
+        for batch in batches:
+            near, held, own = [], None, set()
+            for v, a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if v != held:  # rows come in order of v mostly
+                    held, own = v, shingle_set(b.encode(), shingle)
+                other = shingle_set(a.encode(), shingle)
+                both = len(own & other)
+                near.append(both * least.denominator >= least.numerator * (len(own) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["u", "v", "near"])
+        release()
+
+    rows = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    rows = rows.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+    return rows.mapInArrow(run, "u string, v string, near boolean")
+
+
+def exact_component_ids(marked: DataFrame, texts: DataFrame, words: int, radius: int, similarity: float, shingle: int) -> DataFrame:
+    """(node, component_id) for the distinct sets of shingles of marked (i, th, fp0, ..., node), linked
+    where their Jaccard similarity is `similarity` or more; texts: (i, th, text).
+
+    Fingerprints only propose pairs: every link is checked on the sets themselves. First, trees of
+    the pairs in each bucket are checked. A pair that was left out of a tree needs no check if all
+    links of its tree hold; so where one does not, all pairs between parts that are not yet joined
+    are checked.
+    """
+    fps = [f"fp{k}" for k in range(words + 1)]
+    nodes = written(marked.groupBy("node", *fps).agg(F.min("i").alias("least")), "nodes")
+    masks = likely_masks(64 * words, similarity, nodes.count())
+    pairs = written(bucket_edges(dealt(nodes, masks, words, fps), words, radius, exact=True).distinct(), "links")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    shown = marked.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "i")).alias("s")).select("node", "s.th", F.col("s.i").alias("_i"))
+    found = texts.join(shown, (texts["th"] == shown["th"]) & texts["i"].eqNullSafe(shown["_i"])).select("node", "text")
+    found = written(found.groupBy("node").agg(F.min("text").alias("text")), "texts")
+    checked = written(exactly(pairs, found, shingle, similarity), "checked")
+    links, not_near = checked.where("near").select("u", "v"), checked.where("not near").select("u", "v")
+    if not not_near.isEmpty():
+        parts = components(links).select("node", F.col("root").alias("part"))
+        trees = checkpointed(components(pairs))
+        open_ = checkpointed(trees.join(not_near.select(F.col("u").alias("node")).distinct(), "node").select("root").distinct())
+        again = nodes.join(trees.join(open_, "root", "left_semi").select("node"), "node", "left_semi").join(parts, "node", "left")
+        again = written(again.select(*fps, F.xxhash64(F.coalesce("part", "node")).alias("part")), "open")
+        rest = bucket_edges(dealt(again, masks, words, [*fps, "part"]), words, radius, exact=True).distinct()
+        rest = written(rest.join(not_near, ["u", "v"], "left_anti"), "links")
+        links = links.union(written(exactly(rest, found, shingle, similarity), "checked").where("near").select("u", "v"))
+    named = nodes.select("node", "least").join(components(links), "node", "left")
+    named = checkpointed(named.withColumn("root", F.coalesce("root", "node")))
+    least = checkpointed(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    return named.join(least, "root").select("node", "component_id")
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, radius: int = 3, similarity: float | None = None, distinct: bool = False) -> DataFrame:
     """The rows of df whose id is the least of their component, with the columns of df.
 
+    With `similarity` the components are those of exact_component_ids: fingerprints propose links, and
+    those of at least that Jaccard similarity hold.
     Which rows those are is found on narrow rows of id and fingerprint; texts move once, in a join.
     """
-    fps = [f"fp{k}" for k in range(words)]
+    exact = similarity is not None
+    fps = [f"fp{k}" for k in range(words + exact)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = df.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("th"), text.alias("text"))
-    marked = written(with_fingerprints(narrow, shingle, words, distinct).drop("text"), "fingerprints")
-    found = component_ids(marked, words, radius, similarity, hexed(words))
-    stay = marked.withColumn("fingerprint", hexed(words)).drop(*fps).join(found, "fingerprint").where(F.col("i").eqNullSafe(F.col("component_id")))
+    marked = written(with_fingerprints(narrow, shingle, words, distinct or exact, total=exact).drop("text"), "fingerprints")
+    marked = marked.withColumn("node", hexed(words + exact))
+    if exact:
+        found = exact_component_ids(marked, narrow, words, radius, similarity, shingle)
+    else:
+        found = component_ids(marked, words, radius, None, hexed(words)).withColumnRenamed("fingerprint", "node")
+    stay = marked.drop(*fps).join(found, "node").where(F.col("i").eqNullSafe(F.col("component_id")))
     stay = stay.select(F.col("i").alias("_i"), F.col("th").alias("_th"))
     return df.join(stay, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_th")), "left_semi")

@@ -13,6 +13,7 @@ from harness import DATA, spark_rows, sql_rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from driftloom.llm import bpe, components, exact_dedup, license_scan, mixing, quality_classifier, quality_rules, queries, sharding, simhash, suffix_dedup, token_counts
 from driftloom.llm.common import documents
 
@@ -279,6 +280,43 @@ def test_wide_simhash_finds_similar_and_spares_others(spark):
     assert Counter(groups[r["doc_id"]] for r in kept.collect()) == Counter(range(60))
 
 
+def test_near_copies_by_exact_similarity(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(150):  # pairs of n and n shingles of which k are shared, at and below 0.8
+        n = rng.choice([45, 90, 180])
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+        for share in (1.0, 0.8, 0.79, 0.7):
+            k = -int(-2 * n * share // (1 + share)) if share >= 0.8 else int(2 * n * share / (1 + share))
+            texts.append(" ".join(base[: k + 4] + [f"x{rng.randrange(10**6)}" for _ in range(n - k)]))
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for g in range(0, len(texts), 4):
+        for i in range(g, g + 4):
+            for j in range(g, i):
+                if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                    x, y = top(i), top(j)
+                    up[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if top(i) == i}
+    assert 200 < len(want) < 500
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, "").collect()}
+    assert want <= kept and len(kept - want) <= 2
+
+
+def test_pairs_left_out_of_a_tree_are_checked(spark):
+    words = [f"w{i}" for i in range(204)]
+    texts = [" ".join(words[a : a + 164]) for a in range(0, 37, 3)]  # chains of 0.8 or more, ends at 0.6
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, "").collect()] == [0]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"{i:03}", f"{i + 1:03}") for i in range(60)] + [("x0", f"x{i}") for i in range(1, 50)] + [("q", "q"), ("b", "a"), ("a", "b")]
     out = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u string, v string")).collect()}
