@@ -446,6 +446,12 @@ def test_clean_documents_are_kept(spark):
     assert out.where("quality = 0 and not kept").count() > 0
 
 
+def test_junk_documents_are_rejected(spark):
+    judged = queries.op10_quality_rules(spark, f"{DATA}/sf0.1").join(spark.read.parquet(f"{DATA}/sf0.1/labels.parquet"), "doc_id").where("not base_failed")
+    seen = {(r["quality"], r["kept"]): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert (1, False) not in seen and seen[0, False] > 3 * seen[0, True]
+
+
 # all
 
 
