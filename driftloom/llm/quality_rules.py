@@ -23,12 +23,22 @@ WINDOW = 8
 #: (least, most), most share of tokens that are pieces of a character, least token entropy as a
 #: share of the entropy of as many tokens all different, in a text of 1,024 tokens. for
 #: languages just outside of what clean documents have, for scripts between prose and random letters.
+#: A script that is not listed has no limit for pieces, as the vocabulary may have no tokens of it.
 BANDS = {
     "en": (2.43, 7.0, 0.05, 0.61),
     "de": (2.37, 7.0, 0.10, 0.59),
     "fr": (2.27, 7.0, 0.08, 0.60),
     "es": (2.33, 7.0, 0.07, 0.605),
     "latin": (1.2, 7.0, 0.25, 0.50),
+    "cyrillic": (1.0, 7.0, 0.40, 0.45),
+    "greek": (0.9, 7.0, 0.50, 0.45),
+    "arabic": (0.95, 7.0, 0.45, 0.45),
+    "hebrew": (0.9, 7.0, 0.50, 0.45),
+    "devanagari": (0.65, 7.0, 0.75, 0.45),
+    "thai": (0.8, 7.0, 0.45, 0.45),
+    "han": (0.65, 7.0, 0.60, 0.45),
+    "kana": (0.7, 7.0, 0.50, 0.45),
+    "hangul": (0.7, 7.0, 0.70, 0.45),
     "other": (0.3, 7.0, 1.0, 0.40),
 }
 #: So many tokens need not hold their characters: a secret or a telephone number fills no more, and
@@ -175,14 +185,14 @@ def judge(df: DataFrame, paths: tuple[str, str], text_col: str = "text", lang_co
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated 8-word windows. kept: not
     base_failed, and the fertility lies within the bands of the row's language; where that is null
-    or has no bands, those of "latin" if nine in ten characters are Latin, else of "other". Texts of fewer than LEAST_TOKENS tokens skip the
+    or has no bands, those of its script (script_of). Texts of fewer than LEAST_TOKENS tokens skip the
     bands.
 
     Null text counts as empty and fails; repeated rows are judged alike; an empty table stays empty;
     columns named like an added one are replaced.
     """
     m = measure(df, paths, text_col)
-    script = F.when(F.col("script") == "latin", F.lit("latin")).otherwise(F.lit("other"))
+    script = F.col("script")
     lang = script
     if lang_col and lang_col.lower() in [c.lower() for c in df.columns]:
         known = F.lower(F.col(lang_col).cast("string"))

@@ -452,6 +452,26 @@ def test_junk_documents_are_rejected(spark):
     assert (1, False) not in seen and seen[0, False] > 3 * seen[0, True]
 
 
+PROSE = {
+    "cyrillic": "Вчера вечером мы долго гуляли по старому городу и говорили о книгах, которые прочитали за последний год. Погода была хорошая, и на улицах было много людей.",
+    "arabic": "في مساء أمس مشينا طويلا في المدينة القديمة وتحدثنا عن الكتب التي قرأناها خلال العام الماضي وكان الطقس جميلا والناس في الشوارع",
+    "devanagari": "कल शाम हम पुराने शहर में देर तक घूमे और उन किताबों के बारे में बात की जो हमने पिछले साल पढ़ी थीं। मौसम अच्छा था।",
+    "han": "昨天 晚上 我们 在 老城 里 走了 很久 谈论 过去 一年 读过 的 书 天气 很好 街上 有 很多 人 孩子们 在 公园 里 玩耍 老人 坐在 树下 聊天",
+    "hangul": "어제 저녁 우리는 오래된 도시를 오랫동안 걸으며 지난 한 해 동안 읽은 책에 대해 이야기했다. 날씨가 좋았고 거리에는 사람이 많았다. 우리는 늦게 집으로 돌아왔다.",
+}
+
+
+def test_scripts_have_bands(spark):
+    rng = random.Random(1)
+    blocks = {"cyrillic": (0x400, 0x52F), "arabic": (0x600, 0x6FF), "devanagari": (0x900, 0x97F), "han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7A3)}
+    rows = [(k, 1, t) for k, t in PROSE.items()]
+    rows += [(k, 0, " ".join("".join(chr(rng.randint(*b)) for _ in range(6)) for _ in range(40))) for k, b in blocks.items()]
+    out = quality_rules.judge(spark.createDataFrame(rows, "name string, good int, text string"), FERTILITY).collect()
+    for r in out:
+        assert r["script"] == r["name"] and not r["base_failed"]
+    assert [r["name"] for r in out if r["kept"] != (r["good"] == 1)] == []
+
+
 # all
 
 
