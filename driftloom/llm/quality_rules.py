@@ -47,7 +47,9 @@ ODD_TOKENS = 17
 #: Entropy, as a share, falls by so much with each doubling of a text.
 ENTROPY_SLOPE = 0.052
 #: Texts of fewer tokens are too short for the bands; the word rules see to them.
-LEAST_TOKENS = 40
+LEAST_TOKENS = 20
+#: Texts of fewer tokens are too short for the band of entropy.
+LEAST_ENTROPY_TOKENS = 40
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -186,7 +188,7 @@ def judge(df: DataFrame, paths: tuple[str, str], text_col: str = "text", lang_co
     base_failed: fewer than 20 words, or over 30 % of them in repeated 8-word windows. kept: not
     base_failed, and the fertility lies within the bands of the row's language; where that is null
     or has no bands, those of its script (script_of). Texts of fewer than LEAST_TOKENS tokens skip the
-    bands.
+    bands, of fewer than LEAST_ENTROPY_TOKENS that of entropy.
 
     Null text counts as empty and fails; repeated rows are judged alike; an empty table stays empty;
     columns named like an added one are replaced.
@@ -202,7 +204,7 @@ def judge(df: DataFrame, paths: tuple[str, str], text_col: str = "text", lang_co
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     n = F.col("n_tokens")
     fertile = (F.col("chars_per_token") * n >= band[0] * (n - ODD_TOKENS)) & (F.col("chars_per_token") <= band[1])
-    varied = F.col("token_entropy") >= band[3] - ENTROPY_SLOPE * (F.log2(n) - 10)
+    varied = (n < LEAST_ENTROPY_TOKENS) | (F.col("token_entropy") >= band[3] - ENTROPY_SLOPE * (F.log2(n) - 10))
     apart = fertile & (F.col("byte_share") <= band[2]) & varied
     return m.withColumn("base_failed", base).withColumn("kept", ~base & ((F.col("n_tokens") < LEAST_TOKENS) | apart))
 

@@ -472,6 +472,13 @@ def test_scripts_have_bands(spark):
     assert [r["name"] for r in out if r["kept"] != (r["good"] == 1)] == []
 
 
+def test_short_texts_have_bands(spark):
+    words = "the of and to in a is that for it as was with be by on not he".split()
+    rows = [(" ".join(words + ["his", "but"]), True), (" ".join(words + ["\U00010a0c", "\U00010a11"]), False)]
+    out = quality_rules.judge(spark.createDataFrame([(t, "en", good) for t, good in rows], "text string, lang string, good boolean"), FERTILITY).collect()
+    assert all(20 <= r["n_tokens"] < 40 and not r["base_failed"] and r["kept"] == r["good"] for r in out)
+
+
 # all
 
 
