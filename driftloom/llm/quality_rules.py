@@ -41,9 +41,9 @@ BANDS = {
     "hangul": (0.7, 7.0, 0.70, 0.45),
     "other": (0.3, 7.0, 1.0, 0.40),
 }
-#: So many tokens need not hold their characters: a secret or a telephone number fills no more, and
-#: is much of a short clean text.
-ODD_TOKENS = 17
+#: So many tokens need not hold their characters: some secrets and telephone numbers fill no more, and
+#: are much of a short clean text.
+ODD_TOKENS = 30
 #: Entropy, as a share, falls by so much with each doubling of a text.
 ENTROPY_SLOPE = 0.052
 #: Texts of fewer tokens are too short for the bands; the word rules see to them.
