@@ -269,7 +269,8 @@ def bucket_edges(rows: DataFrame, words: int, radius: int, exact: bool = False)
         if n:
             yield from edges(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
 
-    return rows.repartition("key").sortWithinPartitions("key", "fp0").mapInArrow(run, "u string, v string")
+    # dealt by a hash of the key, as a repartition by the key itself may be left out of the plan after a join by it
+    return rows.repartition(F.xxhash64("key")).sortWithinPartitions("key", "fp0").mapInArrow(run, "u string, v string")
 
 
 def exact_masks(bits: int, radius: int) -> list[list[int]]:
