@@ -323,7 +323,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = df.schema[id_col].dataType
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("string").alias("i"), F.xxhash64(text).alias("th"), text.alias("text"))
-    runs = text_runs(rows, length)
+    runs = written(text_runs(rows, length), "runs")
     often = runs.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), F.min("rh").alias("low"), F.max("rh").alias("high"))
     often = often.where("n > 1").select("ah", (F.col("low") != F.col("high")).alias("mixed"))
     # both counts are written before they are joined: in one stage with the aggregate, Spark could not

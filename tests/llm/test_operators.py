@@ -190,6 +190,26 @@ def test_suffix_dedup_hot_anchor(spark, monkeypatch):
     assert results(suffix_dedup.remove_repeats(df, length=100)) == removed(texts, 100)
 
 
+def test_equal_anchors_meet_after_a_join(spark, monkeypatch):
+    """A join that is split or read locally at run time must not take the runs of an anchor apart."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    rng = random.Random(6)
+    passages = ["".join(rng.choices("abcdefgh ", k=330)) for _ in range(40)]
+    passages += passages[:1] * 20
+    texts = ["".join(rng.choices("abcdefgh ", k=9)) + rng.choice(passages)[rng.randint(0, 60) : rng.randint(260, 330)] for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "100", "spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "1k"}
+    held["spark.sql.adaptive.autoBroadcastJoinThreshold"] = "256k"
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        assert results(suffix_dedup.remove_repeats(df, length=100)) == removed(texts, 100)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_suffix_dedup_awkward(spark):
     df = awkward(spark)
     assert results(suffix_dedup.remove_repeats(df)) == removed([r["text"] for r in df.collect()], 200)
