@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
 from fractions import Fraction
 from itertools import combinations
 
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, release, with_text_columns, without, written
+from .common import checkpointed, fresh, release, with_text_columns, without, written
 from .components import components
 
 #: The fingerprints of one bucket that a task holds together; larger buckets are dealt in blocks.
@@ -185,38 +184,54 @@ def linked(fps: np.ndarray, end: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def candidates(fps: np.ndarray, end: np.ndarray, radius: int, part: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows within the radius of each other and in the same bucket: without part, trees of
-    them that span what linked() joins; with part, all whose parts differ."""
-    n = len(fps)
-    root = np.arange(n)
-    planes, rows = Planes(fps), np.arange(n)
-    shift = 1
-    while len(rows := rows[rows + shift < end[rows]]):
-        i = planes.near(shift, rows, radius)
-        if part is not None:
-            i = i[part[i] != part[i + shift]]
-        elif len(i := i[root[i] != root[i + shift]]):
-            up: dict[int, int] = {}
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
-            def top(x):
-                while (y := up.get(x, x)) != x:
-                    x = y
-                return x
 
-            chosen = []
-            for k, x, y in zip(i.tolist(), root[i].tolist(), root[i + shift].tolist(), strict=True):
-                x, y = top(x), top(y)
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-                    chosen.append(k)
+def forest(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Of pairs (i, j, distance), as columns, of n rows the closest that join all that the pairs join."""
+    pairs = pairs[:, np.argsort(pairs[2], kind="stable")]
+    root, chosen = np.arange(n), []
+    edges = np.flatnonzero(np.diff(pairs[2], prepend=-1, append=-1))
+    for a, b in zip(edges, edges[1:], strict=False):
+        i, j = root[pairs[0, a:b]], root[pairs[1, a:b]]
+        live = np.flatnonzero(i != j)
+        up: dict[int, int] = {}
+
+        def top(x):
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
+
+        for k, x, y in zip((live + a).tolist(), i[live].tolist(), j[live].tolist(), strict=True):
+            x, y = top(x), top(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                chosen.append(k)
+        if up:
             to = np.arange(n)
             for x in up:
                 to[x] = top(x)
-            root, i = to[root], np.array(chosen)
+            root = to[root]
+    return pairs[:, chosen]
+
+
+def closest(fps: np.ndarray, end: np.ndarray, radius: int) -> np.ndarray:
+    """Pairs (i, j, distance) of rows in one bucket and within the radius, which join all that such pairs
+    join, the closest ones: a least spanning forest, not all pairs."""
+    n = len(fps)
+    planes, rows = Planes(fps), np.arange(n)
+    held, size, shift = [np.zeros((3, 0), np.int64)], 0, 1
+    while len(rows := rows[rows + shift < end[rows]]):
+        i = planes.near(shift, rows, radius)
         if len(i):
-            yield i, i + shift
+            held.append(np.stack([i, i + shift, distance(fps[i], fps[i + shift])]))
+            size += len(i)
+            if size > 5 * BATCH:
+                held = [forest(np.concatenate(held, axis=1), n)]
+                size = held[0].shape[1]
         shift += 1
+    return forest(np.concatenate(held, axis=1), n)
 
 
 def bucket_edges(rows: DataFrame, words: int, radius: int, exact: bool = False) -> DataFrame:
@@ -225,7 +240,7 @@ def bucket_edges(rows: DataFrame, words: int, radius: int, exact: bool = False)
     A task reads its buckets in order of their keys and holds some complete ones at a time. Of all
     links in a bucket only a tree is given out, so copies of copies do not make all pairs.
     exact: rows have one more word to tell them apart, and links are pairs that lie within the radius
-    themselves (see candidates); if they also have a part, all pairs between different parts.
+    themselves, the closest that span a component.
     """
     wide = len(rows.columns) - 1
 
@@ -243,11 +258,10 @@ def bucket_edges(rows: DataFrame, words: int, radius: int, exact: bool = False)
             first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             n = np.diff(np.append(first, len(k)))
             if exact:
-                part = f[:, words + 1] if wide > words + 1 else None
-                for i, j in candidates(np.ascontiguousarray(f[:, :words]), np.repeat(first + n, n), radius, part):
-                    for at in range(0, len(i), BATCH):
-                        u, v = name(f[i[at : at + BATCH], : words + 1]), name(f[j[at : at + BATCH], : words + 1])
-                        yield pa.RecordBatch.from_arrays([pa.array(map(min, u, v)), pa.array(map(max, u, v))], names=["u", "v"])
+                i, j, _ = closest(np.ascontiguousarray(f[:, :words]), np.repeat(first + n, n), radius)
+                if len(i):
+                    u, v = name(f[i]), name(f[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(map(min, u, v)), pa.array(map(max, u, v))], names=["u", "v"])
                 continue
             root = linked(f, np.repeat(first + n, n), radius)
             i = np.flatnonzero(root != np.arange(len(root)))
@@ -282,13 +296,12 @@ def exact_masks(bits: int, radius: int) -> list[list[int]]:
     return [[*range(edge[i], edge[i + 1]), *range(edge[j], edge[j + 1])] for i, j in combinations(range(radius + 2), 2)]
 
 
-def likely_masks(bits: int, similarity: float, n: int, recall: float = 0.998) -> list[list[int]]:
-    """Random bit sets of which one agrees with probability `recall` at the given similarity.
+def likely_masks(bits: int, similarity: float, size: int = 14, recall: float = 0.998) -> list[list[int]]:
+    """Random sets of `size` bits, of which one agrees with probability `recall` at the given similarity.
 
-    14 bits serve up to 2**24 fingerprints; beyond, sets grow with the logarithm of their number.
+    They do not depend on the table: a pair is proposed or not whatever else there is.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    size = max(14, math.ceil(math.log2(max(n, 2))) - 10)
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** size))
     rng = random.Random(5)
     return [rng.sample(range(bits), size) for _ in range(count)]
@@ -355,11 +368,12 @@ def dealt(nodes: DataFrame, masks: list[list[int]], words: int, cols: list[str])
     return rows
 
 
-def component_ids(marked: DataFrame, words: int, radius: int, similarity: float | None, name: Column) -> DataFrame:
-    """(fingerprint, component_id) for the distinct fingerprints of marked (i, fp0, ...)."""
+def component_ids(marked: DataFrame, words: int, radius: int, similarity: float | None, name: Column, best: str = "i") -> DataFrame:
+    """(fingerprint, component_id) for the distinct fingerprints of marked (i, fp0, ...); component_id is
+    the least `best` of the component."""
     fps = [f"fp{k}" for k in range(words)]
-    nodes = written(marked.groupBy(*fps).agg(F.min("i").alias("least")), "nodes")
-    masks = exact_masks(64 * words, radius) if similarity is None else likely_masks(64 * words, similarity, nodes.count())
+    nodes = written(marked.groupBy(*fps).agg(F.min(best).alias("least")), "nodes")
+    masks = exact_masks(64 * words, radius) if similarity is None else likely_masks(64 * words, similarity)
     rows = dealt(nodes, masks, words, fps)
     roots = components(written(bucket_edges(rows, words, radius), "links"))
     named = nodes.select(name.alias("fingerprint"), "least").join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
@@ -391,18 +405,115 @@ def exactly(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return rows.mapInArrow(run, "u string, v string, near boolean")
 
 
+#: Bytes of text in a block of the second round, of which a task holds two.
+OPEN_BYTES = 8 << 20
+#: Distances that are worked out at once there.
+GRID = 1 << 21
+
+
+def links_between(names: list[str], parts: list[str], main: np.ndarray, fps: np.ndarray, texts: list[str], radius: int, shingle: int, similarity: Fraction) -> list[tuple[str, str]]:
+    """Links of that similarity which join the parts of some nodes, as far as links within the radius do.
+
+    main: nodes of one part, which come last. Each pair of other parts is compared until the two are
+    joined, close pairs first; hashes of the shingles rule a pair out, the shingles themselves decide.
+    """
+    n, n_small = len(names), int(np.count_nonzero(~main))
+    up = {p: p for p in parts}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    number = {p: k for k, p in enumerate(up)}
+    part = np.array([number[p] for p in parts])
+    hashed: dict[int, np.ndarray] = {}
+
+    def hashes(i):
+        if i not in hashed:
+            hashed[i] = np.unique(np.array(shingle_hashes(texts[i].encode(), shingle, True), np.uint64))
+        return hashed[i]
+
+    def alike(both, a, b):
+        return both * similarity.denominator >= similarity.numerator * (a + b - both)
+
+    found = []
+    step = max(1, GRID // max(n, 1))
+    for a in range(0, n_small, step):
+        i = np.arange(a, min(n_small, a + step))
+        far = distance(fps[i][:, None, :], fps[None, a:, :])
+        near = (far <= radius) & (part[i][:, None] != part[None, a:]) & (np.arange(a, n)[None, :] > i[:, None])
+        x, y = np.nonzero(near)
+        order = np.argsort(far[x, y], kind="stable")
+        for x, y in zip((x[order] + a).tolist(), (y[order] + a).tolist(), strict=True):
+            if (p := top(parts[x])) == (q := top(parts[y])):
+                continue
+            h, g = hashes(x), hashes(y)
+            if not alike(min(len(h), len(g)), len(h), len(g)) or not alike(len(np.intersect1d(h, g, assume_unique=True)), len(h), len(g)):
+                continue
+            own, other = shingle_set(texts[x].encode(), shingle), shingle_set(texts[y].encode(), shingle)
+            if alike(len(own & other), len(own), len(other)):
+                up[p] = q
+                found.append((min(names[x], names[y]), max(names[x], names[y])))
+    return found
+
+
+def links_of_parts(nodes: DataFrame, words: int, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): links between the parts of each component, for nodes (root, part, node, fp0, ..., text).
+
+    All pairs of different parts are compared inside tasks, and only links that join two go out. The
+    nodes of a component's largest part need not meet each other. All are dealt in blocks of some
+    bytes of text, and every two blocks that have to meet do so in some task.
+    """
+    fps = [f"fp{k}" for k in range(words)]
+    least = Fraction(str(similarity))
+    sizes = nodes.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    largest = F.max(F.struct("n", "part", "bytes")).alias("largest")
+    sizes = sizes.groupBy("root").agg(largest, F.sum("bytes").alias("bytes"))
+    blocks = lambda b: F.greatest(F.lit(1), F.ceil(b / OPEN_BYTES)).cast("int")
+    sizes = checkpointed(sizes.select("root", F.col("largest.part").alias("main_part"), blocks(F.col("bytes") - F.col("largest.bytes")).alias("n_small"), blocks(F.col("largest.bytes")).alias("n_main")))
+    rows = nodes.join(sizes, "root").withColumn("main", F.col("part") == F.col("main_part"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_small"))).cast("int"))
+    meets_small = "transform(sequence(0, n_small - 1), b -> xxhash64(root, {0}))"
+    keys = F.when(F.col("main"), F.expr(meets_small.format("'main', b, own"))).otherwise(
+        F.concat(F.expr(meets_small.format("'small', least(b, own), greatest(b, own)")), F.expr("transform(sequence(0, n_main - 1), b -> xxhash64(root, 'main', own, b))"))
+    )
+    rows = rows.select(F.explode(keys).alias("key"), "main", "part", "node", "text", *fps)
+
+    def settle(held: list[tuple]):
+        held.sort(key=lambda r: r[1])
+        f = np.array([r[5:] for r in held], np.int64).view(np.uint64).reshape(len(held), words)
+        found = links_between([r[3] for r in held], [r[2] for r in held], np.array([r[1] for r in held], bool), f, [r[4] for r in held], radius, shingle, least)
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["u", "v"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[-1][0]:
+                    yield settle(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield settle(held)
+        held.clear()
+        release()
+
+    return rows.repartition(F.xxhash64("key")).sortWithinPartitions("key").mapInArrow(run, "u string, v string").distinct()
+
+
 def exact_component_ids(marked: DataFrame, texts: DataFrame, words: int, radius: int, similarity: float, shingle: int) -> DataFrame:
-    """(node, component_id) for the distinct sets of shingles of marked (i, th, fp0, ..., node), linked
-    where their Jaccard similarity is `similarity` or more; texts: (i, th, text).
+    """(node, component_id) for the distinct sets of shingles of marked (i, th, fp0, ..., node, best), linked
+    where their Jaccard similarity is `similarity` or more; texts: (i, th, text). component_id is the
+    least `best` of the component.
 
-    Fingerprints only propose pairs: every link is checked on the sets themselves. First, trees of
-    the pairs in each bucket are checked. A pair that was left out of a tree needs no check if all
-    links of its tree hold; so where one does not, all pairs between parts that are not yet joined
-    are checked.
+    Fingerprints only propose pairs: every link is checked on the sets themselves. First, the closest
+    pairs that span each bucket are checked. A pair beside them needs no check if all links of its tree
+    hold; in a tree where one does not, nodes of different parts are compared inside tasks.
     """
     fps = [f"fp{k}" for k in range(words + 1)]
-    nodes = written(marked.groupBy("node", *fps).agg(F.min("i").alias("least")), "nodes")
-    masks = likely_masks(64 * words, similarity, nodes.count())
+    nodes = written(marked.groupBy("node", *fps).agg(F.min("best").alias("least")), "nodes")
+    masks = likely_masks(64 * words, similarity)
     pairs = written(bucket_edges(dealt(nodes, masks, words, fps), words, radius, exact=True).distinct(), "links")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     shown = marked.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "i")).alias("s")).select("node", "s.th", F.col("s.i").alias("_i"))
@@ -411,14 +522,12 @@ def exact_component_ids(marked: DataFrame, texts: DataFrame, words: int, radius:
     checked = written(exactly(pairs, found, shingle, similarity), "checked")
     links, not_near = checked.where("near").select("u", "v"), checked.where("not near").select("u", "v")
     if not not_near.isEmpty():
-        parts = components(links).select("node", F.col("root").alias("part"))
+        parts = checkpointed(components(links).select("node", F.col("root").alias("part")))
         trees = checkpointed(components(pairs))
         open_ = checkpointed(trees.join(not_near.select(F.col("u").alias("node")).distinct(), "node").select("root").distinct())
-        again = nodes.join(trees.join(open_, "root", "left_semi").select("node"), "node", "left_semi").join(parts, "node", "left")
-        again = written(again.select(*fps, F.xxhash64(F.coalesce("part", "node")).alias("part")), "open")
-        rest = bucket_edges(dealt(again, masks, words, [*fps, "part"]), words, radius, exact=True).distinct()
-        rest = written(rest.join(not_near, ["u", "v"], "left_anti"), "links")
-        links = links.union(written(exactly(rest, found, shingle, similarity), "checked").where("near").select("u", "v"))
+        again = trees.join(open_, "root", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        again = written(again.join(nodes.select("node", *fps[:words]), "node").join(found, "node").select("root", "part", "node", "text", *fps[:words]), "open")
+        links = links.union(written(links_of_parts(again, words, radius, shingle, similarity), "checked"))
     named = nodes.select("node", "least").join(components(links), "node", "left")
     named = checkpointed(named.withColumn("root", F.coalesce("root", "node")))
     least = checkpointed(named.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -426,22 +535,35 @@ def exact_component_ids(marked: DataFrame, texts: DataFrame, words: int, radius:
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, radius: int = 3, similarity: float | None = None, distinct: bool = False) -> DataFrame:
-    """The rows of df whose id is the least of their component, with the columns of df.
+    """One row of each component, that of the least id, with the columns of df.
 
     With `similarity` the components are those of exact_component_ids: fingerprints propose links, and
     those of at least that Jaccard similarity hold.
     Which rows those are is found on narrow rows of id and fingerprint; texts move once, in a join.
+
+    Null text counts as empty; texts without words are one component. Where no row of a component has
+    an id, and where an id has several texts, the least hash of the text decides; of rows that repeat
+    an id and a text, one stays. An empty table stays empty.
     """
     exact = similarity is not None
     fps = [f"fp{k}" for k in range(words + exact)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = df.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("th"), text.alias("text"))
     marked = written(with_fingerprints(narrow, shingle, words, distinct or exact, total=exact).drop("text"), "fingerprints")
-    marked = marked.withColumn("node", hexed(words + exact))
+    marked = marked.withColumn("node", hexed(words + exact)).withColumn("best", F.struct(F.col("i").isNull().alias("none"), "i", "th"))
     if exact:
         found = exact_component_ids(marked, narrow, words, radius, similarity, shingle)
     else:
-        found = component_ids(marked, words, radius, None, hexed(words)).withColumnRenamed("fingerprint", "node")
-    stay = marked.drop(*fps).join(found, "node").where(F.col("i").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("i").alias("_i"), F.col("th").alias("_th"))
-    return df.join(stay, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_th")), "left_semi")
+        found = component_ids(marked, words, radius, None, hexed(words), "best").withColumnRenamed("fingerprint", "node")
+    stay = marked.drop(*fps).join(found, "node").where(F.col("best").eqNullSafe(F.col("component_id")))
+    stay = checkpointed(stay.groupBy(F.col("i").alias("_i"), F.col("th").alias("_th")).agg(F.count(F.lit(1)).alias("_n")))
+
+    def rows_of(some: DataFrame, ids: DataFrame) -> DataFrame:
+        return some.join(ids, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_th")), "left_semi")
+
+    twice = stay.where("_n > 1")
+    if twice.isEmpty():
+        return rows_of(df, stay)
+    (th,) = fresh(df, "th")
+    again = rows_of(df, twice).withColumn(th, F.xxhash64(text)).dropDuplicates([id_col, th]).drop(th)
+    return rows_of(df, stay.where("_n = 1")).union(again)

@@ -296,7 +296,7 @@ def test_wide_simhash_finds_similar_and_spares_others(spark):
             texts.append(" ".join(copy))
             groups.append(g)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = simhash.one_of_each(df, shingle=5, words=4, radius=47, similarity=0.8, distinct=True)
+    kept = simhash.one_of_each(df, shingle=5, words=4, radius=58, similarity=0.8, distinct=True)
     assert Counter(groups[r["doc_id"]] for r in kept.collect()) == Counter(range(60))
 
 
