@@ -58,14 +58,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-def coin_sql(k: int) -> str:
-    return f"('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null') || ':{k // 8}'), {1 + 8 * (k % 8)}, 8))::BIGINT / 4294967296.0::DOUBLE"
-
-
-OP6_SQL = f"""
+OP6_SQL = """
 WITH d AS (
   SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\x0c\\r]+'))::BIGINT AS size,
-         [{", ".join(coin_sql(k) for k in range(mixing.COINS))}] AS coins
+         ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS coin
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -79,16 +75,10 @@ l AS (
 t AS (
   SELECT source, source_size,
          least(cap, coalesce(weight * max(lev) OVER (), cap)) AS target FROM l),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
-j AS (
-  SELECT d.doc_id, d.size, d.coins, r.* FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (
-  SELECT source, min({{'off': off, 'k': k}}) AS best FROM (
-    SELECT source, k, abs(sum(size * (floor(rate)::BIGINT + (coins[k + 1] < rate - floor(rate))::BIGINT)) - any_value(target)) AS off
-    FROM j, range({mixing.COINS}) AS g(k) GROUP BY source, k) GROUP BY source)
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
-       (size * (floor(rate)::BIGINT + (coins[best.k + 1] < rate - floor(rate))::BIGINT))::BIGINT AS taken
-FROM j JOIN k ON j.source IS NOT DISTINCT FROM k.source
+       (size * (floor(rate)::BIGINT + (coin < rate - floor(rate))::BIGINT))::BIGINT AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
 

@@ -365,7 +365,7 @@ def filled(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
 def test_mixing_brute_force(spark):
     rng = random.Random(6)
     uneven = [(i, "w " * rng.randint(0, 40) * (30 if i % 50 == 0 else 1), "en", f"s{min(rng.randint(0, 9), 5)}", 1) for i in range(800)]
-    for docs in (awkward(spark, "size target"), documents_of(spark), spark.createDataFrame(uneven, DOCS)):
+    for docs in (awkward(spark, "size target _size _words _coin _rate"), documents_of(spark), spark.createDataFrame(uneven, DOCS)):
         out = mixing.mix_counts(docs).collect()
         assert len(out) == docs.count()
         sizes, taken = Counter(), Counter()
@@ -376,13 +376,25 @@ def test_mixing_brute_force(spark):
         want = filled(dict(sizes))
         for r in out:
             assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
-        largest = {s: max(r["size"] for r in out if r["source"] == s) for s in sizes}
-        assert all(abs(taken[s] - want[s]) <= max(0.1 * want[s], largest[s]) for s in sizes)
+        squares = Counter()
+        for r in out:
+            rate = want[r["source"]] / sizes[r["source"]] if sizes[r["source"]] else 0
+            share = int(hashlib.sha256(str(r["doc_id"] if r["doc_id"] is not None else "null").encode()).hexdigest()[:8], 16) / 2**32
+            assert r["copies"] == int(rate) + (share < rate - int(rate))
+            squares[r["source"]] += r["size"] ** 2
+        assert all(abs(taken[s] - want[s]) <= 2 * squares[s] ** 0.5 for s in sizes)  # four deviations at most
         again = mixing.mix_counts(docs.repartition(3)).collect()
         assert sorted(map(str, [(r["doc_id"], r["taken"]) for r in out])) == sorted(map(str, [(r["doc_id"], r["taken"]) for r in again]))
         assert mixing.mix(docs).count() == sum(r["copies"] for r in out) and mixing.mix(docs).columns == docs.columns
 
 
+def test_mixing_source_column_named_like_a_result(spark):
+    docs = documents_of(spark)
+    out = mixing.mix_counts(docs.withColumnRenamed("source", "size"), source_col="size")
+    want = mixing.mix_counts(docs)
+    assert sorted(map(tuple, out.select("doc_id", "size", "taken").collect())) == sorted(map(tuple, want.select("doc_id", "size", "taken").collect()))
+
+
 # 8
 
 
