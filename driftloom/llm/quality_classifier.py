@@ -26,6 +26,8 @@ LEARNED_ROWS = 400_000
 SUMS = 12
 #: Steps of the raw score in which labels are counted for calibration.
 STEPS = 2_000
+#: The range of the raw score in which it is calibrated; labels are 0 and 1.
+LOW, HIGH = -1.0, 2.0
 CLASSES = {"upper": range(0x41, 0x5B), "digits": range(0x30, 0x3A), "symbols": b"#*$%&<>@_=+~^\\", "bars": b"|", "bangs": b"!", "stops": b".?", "commas": b",;:", "other_marks": b"\"'()[]{}-/`", "wide": range(0x80, 0x100)}
 
 
@@ -92,19 +94,39 @@ def batch_stats(batch: pa.RecordBatch) -> np.ndarray:
     return col.flatten().to_numpy().reshape(batch.num_rows, len(STATS))
 
 
-def isotonic(totals: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The nondecreasing means nearest totals / counts, by pooling neighbours that are out of order."""
-    pool: list[list[float]] = []
+def isotonic(totals: np.ndarray, counts: np.ndarray) -> list[tuple[float, float, int]]:
+    """Blocks (total, count, members) whose means rise, nearest totals / counts: neighbours that are out
+    of order are pooled."""
+    pool: list[tuple[float, float, int]] = []
     for t, c in zip(totals.tolist(), counts.tolist(), strict=True):
-        pool.append([t, c, 1])
-        while len(pool) > 1 and pool[-2][0] * pool[-1][1] >= pool[-1][0] * pool[-2][1]:
-            t, c, k = pool.pop()
-            pool[-1] = [pool[-1][0] + t, pool[-1][1] + c, pool[-1][2] + k]
-    return np.concatenate([np.full(k, t / c) for t, c, k in pool]) if pool else np.zeros(0)
+        k = 1
+        while pool and pool[-1][0] * c >= t * pool[-1][1]:
+            u, d, m = pool.pop()
+            t, c, k = t + u, c + d, k + m
+        pool.append((t, c, k))
+    return pool
+
+
+def calibration(at: np.ndarray, ones: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of a raw score and the share of ones there, for interpolation: each isotonic block counts at
+    its mean, with half a row of either label more, so that no level is certain; pooled again, as
+    that may put small blocks out of order. Beyond the outermost blocks levels go half the way to
+    0 and 1 at the ends of the range, so that unlike documents score unlike there too."""
+    blocks = isotonic(ones, counts)
+    if not blocks:
+        return np.array([LOW, HIGH]), np.array([0.0, 1.0])
+    edges = np.cumsum([0, *(k for _, _, k in blocks)])
+    n = np.array([c for _, c, _ in blocks])
+    mean = np.add.reduceat(at * counts, edges[:-1]) / n
+    again = isotonic((np.array([t for t, _, _ in blocks]) + 0.5) / (n + 1) * n, n)
+    edges = np.cumsum([0, *(k for _, _, k in again)])
+    knots = np.add.reduceat(mean * n, edges[:-1]) / np.add.reduceat(n, edges[:-1])
+    levels = np.array([t / c for t, c, _ in again])
+    return np.concatenate([[LOW], np.clip(knots, LOW, HIGH), [HIGH]]), np.concatenate([[levels[0] / 2], levels, [(1 + levels[-1]) / 2]])
 
 
 def step_of(raw: np.ndarray) -> np.ndarray:
-    return np.clip(((raw + 1) / 3 * STEPS).astype(int), 0, STEPS - 1)
+    return np.clip(((raw - LOW) / (HIGH - LOW) * STEPS).astype(int), 0, STEPS - 1)
 
 
 def fit(rows: DataFrame, seed: int = 11) -> Model:
@@ -147,12 +169,7 @@ def fit(rows: DataFrame, seed: int = 11) -> Model:
 
     counted = rows.where("fold = 0").select("stats", "label").mapInArrow(steps, "step int, raw double, label double")
     counted = counted.groupBy("step").agg(F.avg("raw").alias("at"), F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("step")
-    if len(counted):
-        # one row of either label keeps the ends off certainty
-        totals = counted["ones"].to_numpy(float) + 0.5 * (counted["n"].to_numpy() == 0)
-        model.knots, model.levels = counted["at"].to_numpy(), isotonic(totals, counted["n"].to_numpy(float))
-    else:
-        model.knots, model.levels = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    model.knots, model.levels = calibration(*(counted[c].to_numpy(float) for c in ("at", "ones", "n")))
     return model
 
 
