@@ -97,7 +97,7 @@ def test_token_counts_equal_the_library(spark):
 
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact_dedup_brute_force(spark, keep):
-    docs = awkward(spark, "keep_id kept")
+    docs = awkward(spark, "keep_id kept _n _h _best")
     groups = {}
     for r in docs.collect():
         groups.setdefault(text(r["text"]), []).append(r["doc_id"])
@@ -112,6 +112,29 @@ def test_exact_dedup_brute_force(spark, keep):
         assert r["text_sha256"] == hashlib.sha256(text(r["text"]).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_one_row_of_each_text_stays(spark, keep):
+    docs = awkward(spark, "_t _h h t")
+    for df in (docs, docs.withColumn("m", F.create_map(F.lit("k"), F.lit(1)))):
+        out = exact_dedup.drop_copies(df, keep=keep)
+        assert out.columns == df.columns
+        rows, best = out.collect(), {}
+        for r in docs.collect():
+            best.setdefault(text(r["text"]), []).append(r["doc_id"])
+        pick = min if keep == "min" else max
+        want = {t: pick([i for i in ids if i is not None], default=None) for t, ids in best.items()}
+        assert len(rows) == len(want) and all(want[text(r["text"])] == r["doc_id"] for r in rows)
+
+
+def test_one_row_of_each_near_group_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join([*words[:59], "other"])
+    rows = [(1, a), (1, a), (2, b), (None, "x y z"), (None, "x y z"), (3, None), (3, ""), (None, " ".join(words[::-1])), (None, " ".join([*words[:0:-1], "more"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_copies(spark, df, "").collect()
+    assert Counter(r["doc_id"] for r in kept) == {1: 1, 3: 1, None: 2}
+
+
 # 3
 
 
@@ -144,7 +167,51 @@ def test_classifier_awkward(spark):
 def test_isotonic():
     import numpy as np
 
-    assert quality_classifier.isotonic(np.array([1.0, 0, 2, 3]), np.array([2.0, 2, 2, 3])).tolist() == [0.25, 0.25, 1.0, 1.0]
+    assert quality_classifier.isotonic(np.array([1.0, 0, 2, 3]), np.array([2.0, 2, 2, 3])) == [(1.0, 4.0, 2), (5.0, 5.0, 2)]
+    knots, levels = quality_classifier.calibration(np.array([0.0, 0.1, 0.9, 1.0]), np.array([0.0, 1, 0, 3]), np.array([4.0, 2, 1, 3]))
+    assert (np.diff(knots) > 0).all() and (np.diff(levels) > 0).all() and levels[0] > 0 and levels[-1] < 1
+    assert levels[1:-1].tolist() == pytest.approx([0.5 / 5, 1.5 / 4, 3.5 / 4]) and knots[1:-1].tolist() == pytest.approx([0, 1.1 / 3, 1])
+
+
+def test_classifier_equals_a_plain_model(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, len(quality_classifier.STATS)))
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(size=400) > 0.7).astype(int)
+    fold = rng.integers(0, 5, 400)
+    rows = spark.createDataFrame([(a.tolist(), int(b), int(c)) for a, b, c in zip(x, y, fold, strict=True)], "stats array<double>, label int, fold int")
+    model = quality_classifier.fit(rows)
+    draw = np.random.default_rng(11)
+    waves, phases = draw.normal(size=(x.shape[1], quality_classifier.FEATURES)) / quality_classifier.WIDTH, draw.uniform(0, 2 * np.pi, quality_classifier.FEATURES)
+    z = np.cos(np.clip((x - x.mean(0)) / x.std(0), -6, 6) @ waves + phases) * np.sqrt(2 / quality_classifier.FEATURES)
+    z = np.hstack([z, np.ones((400, 1))])
+    a, b = z[fold > 0], y[fold > 0]
+    ridge = np.diag([1e-4 * 400 + 0.1] * quality_classifier.FEATURES + [1e-6])
+    weights = np.linalg.solve(a.T @ a + ridge, a.T @ b)
+    assert model.raw(x) == pytest.approx(z @ weights, abs=1e-6)
+    raw, ones = (z @ weights)[fold == 0], y[fold == 0]
+    order = np.argsort(raw)
+    held = [[r, r, o, 1.0] for r, o in zip(raw[order], ones[order], strict=True)]  # pool plainly, row by row
+    level = lambda block: block[2] / block[3]
+    while any(level(p) >= level(q) for p, q in zip(held, held[1:], strict=False)):
+        k = next(k for k, (p, q) in enumerate(zip(held, held[1:], strict=False)) if level(p) >= level(q))
+        p, q = held[k], held.pop(k + 1)
+        held[k] = [p[0], q[1], p[2] + q[2], p[3] + q[3]]
+    for first, last, t, n in held:  # the model's levels follow those of the plain blocks
+        inside = model.score(x[fold == 0])[(raw >= first) & (raw <= last)]
+        assert len(inside) == n and abs(inside.mean() - (t + 0.5) / (n + 1)) < 0.25
+    assert (np.diff(model.score(x)[np.argsort(z @ weights)]) >= -1e-12).all()
+
+
+def test_classifier_scores_are_no_certainties(spark):
+    import numpy as np
+
+    out = as_pandas(queries.op3_quality_classifier(spark, f"{DATA}/sf0.01")).set_index("doc_id")
+    marks = as_pandas(spark.read.parquet(f"{DATA}/sf0.01/labels.parquet")).set_index("doc_id").join(out)
+    held = marks[marks.held_out]
+    loss = -np.where(held.quality == 1, np.log(held.score), np.log(1 - held.score)).mean()
+    assert out.score.between(0.001, 0.999).all() and out.score.nunique() > 0.8 * len(out) and loss < 0.2
 
 
 # 4
@@ -330,13 +397,45 @@ def test_near_copies_by_exact_similarity(spark):
     assert want <= kept and len(kept - want) <= 2
 
 
-def test_pairs_left_out_of_a_tree_are_checked(spark):
+@pytest.mark.parametrize("block", [1, 3_000, 1 << 23])
+def test_pairs_left_out_of_a_tree_are_checked(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "OPEN_BYTES", block)
     words = [f"w{i}" for i in range(204)]
     texts = [" ".join(words[a : a + 164]) for a in range(0, 37, 3)]  # chains of 0.8 or more, ends at 0.6
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, "").collect()] == [0]
 
 
+@pytest.mark.parametrize("block", [4_000, 1 << 23])
+def test_large_group_of_near_copies(spark, monkeypatch, block):
+    """Copies of one text with edits of their own: some are near it, some only near each other or nothing."""
+    monkeypatch.setattr(simhash, "OPEN_BYTES", block)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            copy[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    want = sorted(i for i in range(len(texts)) if top(i) == i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, "").collect()) == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"{i:03}", f"{i + 1:03}") for i in range(60)] + [("x0", f"x{i}") for i in range(1, 50)] + [("q", "q"), ("b", "a"), ("a", "b")]
     out = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u string, v string")).collect()}
@@ -398,8 +497,16 @@ def test_mixing_source_column_named_like_a_result(spark):
 # 8
 
 
+def scheduled(weights, shards):
+    """Longest-processing-time scheduling of single items, one after the other."""
+    loads = [0] * shards
+    for w in sorted(weights, reverse=True):
+        loads[loads.index(min(loads))] += w
+    return loads
+
+
 def test_sharding_laws(spark):
-    for docs, shards in ((awkward(spark, "shard slot"), 5), (documents_of(spark), 7)):
+    for docs, shards in ((awkward(spark, "shard slot _g _cell _group _s _c n first"), 5), (documents_of(spark), 7), (documents_of(spark, f"{DATA}/sf0.01"), 24)):
         out = sharding.shard_by_bytes(docs, shards=shards).collect()
         assert len(out) == docs.count()
         where, loads, slots, groups = {}, Counter(), {}, Counter()
@@ -411,11 +518,21 @@ def test_sharding_laws(spark):
             groups[t] += r["size"]
             slots.setdefault(r["shard"], []).append(r["slot"])
         assert all(len(s) == 1 for s in where.values()) and all(sorted(v) == list(range(len(v))) for v in slots.values())
-        assert max(loads.values()) <= max(sum(loads.values()) / shards + max(groups.values()), max(groups.values()))
-
-
-def test_longest_first():
-    assert sharding.longest_first([("a", 5), ("b", 4), ("c", 3), ("d", 3), ("e", 3)], 2) == [0, 1, 1, 0, 1]
+        assert [loads[s] for s in range(shards)] == scheduled(groups.values(), shards)
+
+
+def test_longest_first_deals_equal_sizes_as_one_by_one():
+    rng = random.Random(12)
+    for _ in range(200):
+        shards = rng.randint(1, 6)
+        items = {rng.randint(0, 30): rng.randint(1, rng.choice([3, 60])) for _ in range(rng.randint(0, 9))}
+        plan = sharding.longest_first(list(items.items()), shards)
+        loads = [0] * shards
+        for size, s, first, n in plan:
+            loads[s] += size * n
+        assert loads == scheduled([size for size, n in items.items() for _ in range(n)], shards)
+        for size, n in items.items():
+            assert sorted(k for z, _, first, many in plan if z == size for k in range(first, first + many)) == list(range(n))
 
 
 # 9
