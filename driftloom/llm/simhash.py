@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 from fractions import Fraction
 from itertools import combinations
 
@@ -21,6 +22,8 @@ from .components import components
 BLOCK = 50_000
 #: Rows of small buckets that are compared side by side.
 BATCH = 200_000
+#: Rows times distances between places that are compared at once.
+SHIFTED = 1 << 20
 ALL = np.uint64(2**64 - 1)
 
 
@@ -106,38 +109,30 @@ class Planes:
         bits = np.unpackbits(pad.view(np.uint8), axis=1, bitorder="little")
         self.bits = np.packbits(bits, axis=0, bitorder="little").T.copy().view(np.uint64)
 
-    def differ(self, b: int, at: np.ndarray, shift: int) -> np.ndarray:
-        """At words `at`: which rows differ in bit b from the row `shift` places on."""
-        plane, q, r = self.bits[b], shift // 64, np.uint64(shift % 64)
-        later = plane[at + q]
-        if r:
-            later = (later >> r) | (plane[at + q + 1] << (np.uint64(64) - r))
-        return plane[at] ^ later
-
-    def near(self, shift: int, valid: np.ndarray, radius: int) -> np.ndarray:
-        """Rows i of valid whose row i + shift is at most `radius` bits away.
+    def near(self, shifts: np.ndarray, end: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(i, shift) of all rows i whose row i + shift lies before end[i] and at most `radius` bits away.
 
         64 distances to a word are counted in carry-save form: bit j of all counters lies in low[j].
         They start so high that the one beyond the radius carries out. Words in which all rows are
-        beyond it, or not valid, are abandoned.
+        beyond it, or not compared, are abandoned.
         """
-        mask = np.zeros(64 * self.words, bool)
-        mask[valid] = True
-        over = ~np.packbits(mask, bitorder="little").view(np.uint64)
-        at = np.flatnonzero(over != ALL)
-        over = over[at]
+        mask = np.zeros((len(shifts), 64 * self.words), bool)
+        mask[:, : len(end)] = shifts[:, None] < (end - np.arange(len(end)))[None, :]
+        over = ~np.packbits(mask, axis=1, bitorder="little").view(np.uint64)
+        which, at = np.nonzero(over != ALL)
+        over, shift = over[which, at], shifts[which]
         n_low = max(1, radius.bit_length())
         start = 2**n_low - 1 - radius
         low = [np.full(len(at), ALL if start >> j & 1 else np.uint64(0)) for j in range(n_low)]
-        n_bits = len(self.bits)
-        for b in range(0, n_bits, 2):
+        far, right = at + shift // 64, (shift % 64).astype(np.uint64)
+        left = np.uint64(63) - right
+        for b in range(0, len(self.bits), 2):
             if not len(at):
-                return at
-            far = at + (shift // 64 + 1)
-            if far[-1] >= self.bits.shape[1]:  # rows beyond the end are never valid
-                keep = far < self.bits.shape[1]
-                at, over, low = at[keep], over[keep], [x[keep] for x in low]
-            x, y = self.differ(b, at, shift), self.differ(b + 1, at, shift)
+                break
+            # in x and y: which rows differ from the row `shift` places on
+            p, q = self.bits[b], self.bits[b + 1]
+            x = p[at] ^ ((p[far] >> right) | ((p[far + 1] << left) << np.uint64(1)))
+            y = q[at] ^ ((q[far] >> right) | ((q[far + 1] << left) << np.uint64(1)))
             u = x ^ y
             carry = (x & y) | (low[0] & u)
             low[0] ^= u
@@ -147,22 +142,28 @@ class Planes:
             if b % 8 == 6:
                 live = over != ALL
                 if 2 * np.count_nonzero(live) < len(at):
-                    at, over, low = at[live], over[live], [x[live] for x in low]
+                    at, far, right, left, shift, over = (z[live] for z in (at, far, right, left, shift, over))
+                    low = [x[live] for x in low]
         hit = np.unpackbits((~over).view(np.uint8), bitorder="little").reshape(-1, 64)
         word, bit = np.nonzero(hit)
-        return at[word] * 64 + bit
+        return at[word] * 64 + bit, shift[word]
+
+    def all_near(self, end: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """near() for all shifts, some at a time, with (i, j) for the rows."""
+        most = int((end - np.arange(len(end))).max(initial=0))
+        step = max(1, SHIFTED // max(len(end), 1))
+        for s in range(1, most, step):
+            i, shift = self.near(np.arange(s, min(most, s + step)), end, radius)
+            if len(i):
+                yield i, i + shift
 
 
 def linked(fps: np.ndarray, end: np.ndarray, radius: int) -> np.ndarray:
     """The root row of each row: rows within the radius of each other, and in the same bucket (end:
     where the bucket of each row ends), have one root, as have chains of such rows."""
-    n = len(fps)
-    root = np.arange(n)
-    planes, rows = Planes(fps), np.arange(n)
-    shift = 1
-    while len(rows := rows[rows + shift < end[rows]]):
-        i = planes.near(shift, rows, radius)
-        a, b = root[i], root[i + shift]
+    root = np.arange(len(fps))
+    for i, j in Planes(fps).all_near(end, radius):
+        a, b = root[i], root[j]
         pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
         if len(pairs):
             up: dict[int, int] = {}
@@ -176,11 +177,10 @@ def linked(fps: np.ndarray, end: np.ndarray, radius: int) -> np.ndarray:
                 x, y = top(x), top(y)
                 if x != y:
                     up[max(x, y)] = min(x, y)
-            to = np.arange(n)
+            to = np.arange(len(fps))
             for x in up:
                 to[x] = top(x)
             root = to[root]
-        shift += 1
     return root
 
 
@@ -220,17 +220,13 @@ def closest(fps: np.ndarray, end: np.ndarray, radius: int) -> np.ndarray:
     """Pairs (i, j, distance) of rows in one bucket and within the radius, which join all that such pairs
     join, the closest ones: a least spanning forest, not all pairs."""
     n = len(fps)
-    planes, rows = Planes(fps), np.arange(n)
-    held, size, shift = [np.zeros((3, 0), np.int64)], 0, 1
-    while len(rows := rows[rows + shift < end[rows]]):
-        i = planes.near(shift, rows, radius)
-        if len(i):
-            held.append(np.stack([i, i + shift, distance(fps[i], fps[i + shift])]))
-            size += len(i)
-            if size > 5 * BATCH:
-                held = [forest(np.concatenate(held, axis=1), n)]
-                size = held[0].shape[1]
-        shift += 1
+    held, size = [np.zeros((3, 0), np.int64)], 0
+    for i, j in Planes(fps).all_near(end, radius):
+        held.append(np.stack([i, j, distance(fps[i], fps[j])]))
+        size += len(i)
+        if size > 5 * BATCH:
+            held = [forest(np.concatenate(held, axis=1), n)]
+            size = held[0].shape[1]
     return forest(np.concatenate(held, axis=1), n)
 
 
