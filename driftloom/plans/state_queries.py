@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import economics as E
 from ..functions import text as X
 from ..operators import segments, summary
 from ..operators.segments import KEY, by_session
+from ..scratch import shared_folder
 from ..sources import events as sse
 from ..sources import refs, settings, wire
 from ..streaming import session_state
@@ -113,8 +112,7 @@ def session_states(spark, d):
 def stream_session_state(spark, d):
     path = f"{d}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if not path_is_file(spark, path) else d + "/events.parque[t]")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftloom-")
-    return rounded(session_state.run_stream(spark, as_observations(stream), folder))
+    return rounded(session_state.run_stream(spark, as_observations(stream), shared_folder(spark)))
 
 
 def path_is_file(spark, path: str) -> bool:

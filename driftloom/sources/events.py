@@ -5,31 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters of a response that are looked through.
+#: Bytes of a response that are looked through, and the names that the wire format has (fixed values).
 SCAN_CAP = 64 * 1024
-START = "struct<message: struct<model: string, usage: struct<input_tokens: bigint, cache_creation_input_tokens: bigint, cache_read_input_tokens: bigint>>>"
-
-
-def field(line: Column, name: str) -> Column:
-    """What follows `name:` and one space at most, or null."""
-    return F.when(line.startswith(f"{name}:"), F.regexp_replace(line, rf"\A{name}: ?", ""))
+COUNTS = ("cache_creation_input_tokens", "cache_read_input_tokens", "input_tokens")
+START = f"struct<message: struct<model: string, usage: struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>>>"
 
 
 def usage(body: Column) -> Column:
-    """The first usage under a message_start event, or null: struct<model, creation, read, input>."""
-    lines = F.transform(F.split(F.substring(body, 1, SCAN_CAP), "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
-    state = F.struct(F.lit(None).cast("string").alias("event"), F.lit(None).cast("string").alias("data"))
-
-    def step(s, line):
-        event, data = field(line, "event"), field(line, "data")
-        parsed = F.get_json_object(data, "$.message.usage.input_tokens")
-        fits = s["data"].isNull() & (s["event"] == "message_start") & parsed.isNotNull()
-        return F.struct(F.coalesce(event, s["event"]).alias("event"), F.coalesce(s["data"], F.when(fits, data)).alias("data"))
-
-    data = F.aggregate(lines, state, step)["data"]
-    read = F.from_json(data, START)["message"]
-    found = F.struct(read["model"].alias("model"), read["usage"]["cache_creation_input_tokens"].alias("creation"), read["usage"]["cache_read_input_tokens"].alias("read"), read["usage"]["input_tokens"].alias("input"))
-    return F.when(data.isNotNull(), found)
+    """The first usage under a message_start event that has its model and all three counts, or null:
+    struct<model, creation, read, input>. Null and empty bodies have none.
+
+    A response is cut at its event lines, and JSON is parsed for data lines under message_start alone."""
+    head = F.make_valid_utf8(F.substring(body.cast("binary"), 1, SCAN_CAP).cast("string"))
+    events = F.split(F.concat(F.lit("\n"), head), "\nevent:")
+    starts = F.filter(F.slice(events, 2, F.greatest(F.size(events), F.lit(1))), lambda e: e.rlike(r"\A ?message_start\r?(\n|\z)"))
+    lines = F.flatten(F.transform(starts, lambda e: F.regexp_extract_all(e, F.lit(r"\ndata: ?([^\n]*)"), F.lit(1))))
+    read = F.transform(lines, lambda x: F.from_json(x, START)["message"])
+    found = F.transform(read, lambda m: F.struct(m["model"].alias("model"), m["usage"][COUNTS[0]].alias("creation"), m["usage"][COUNTS[1]].alias("read"), m["usage"][COUNTS[2]].alias("input")))
+    whole = F.filter(found, lambda u: u["model"].isNotNull() & (u["creation"] >= 0) & (u["read"] >= 0) & (u["input"] >= 0))
+    return F.try_element_at(whole, F.lit(1))
 
 
 def frames(message_id: Column, model: Column, text: Column, input_tokens: Column, output_tokens: Column) -> Column:

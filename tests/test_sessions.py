@@ -68,7 +68,7 @@ def test_splice_and_gate():
     new, over = wire.splice(BODY, target, [2])
     assert over == 0 and '"zeta":1.10' in new and '{"type":"thinking","thinking":"a  b"}' in new and wire.gate(new, BODY) is None
     assert wire.splice(BODY, [target[0] | {"block": 4}], []) is None
-    cases = {"reparse": new[:-1], "tool_pair_broken": new.replace('"tool_use_id":"u1"', '"tool_use_id":"u2"'), "grew": BODY, "thinking_changed": new.replace("a  b", "a b"), "too_many_hints": new.replace('"short"', '"' + '\\"cache_control\\"' * 0 + 'short"').replace('"zeta":1.10', '"zeta":["cache_control","cache_control","cache_control","cache_control"]')}
+    cases = {"reparse": new[:-1], "unpaired_tools": new.replace('"tool_use_id":"u1"', '"tool_use_id":"u2"'), "grew": BODY, "thinking_changed": new.replace("a  b", "a b"), "too_many_hints": new.replace('"short"', '"' + '\\"cache_control\\"' * 0 + 'short"').replace('"zeta":1.10', '"zeta":["cache_control","cache_control","cache_control","cache_control"]')}
     for why, body in cases.items():
         assert wire.gate(body, BODY) == why, why
     assert wire.gate(new.replace('"tools":', '"toolz":'), BODY) == "key_dropped"
@@ -172,3 +172,48 @@ def test_summarizer_folds_and_summarises(spark):
     text = "first line\n" + "word " * 80 + "extraordinary\nlast line"
     d = spark.createDataFrame([(text,)], "t string").select(Extractive().decide(F.col("t"), F.expr("cast(array() as array<string>)")).alias("d")).first()["d"]
     assert d["choice"] == "summarize" and d["summary_content"].startswith("first line\nabout: extraordinary") and d["summary_content"].endswith("last line")
+
+
+def test_usage_needs_its_model_and_all_counts(spark):
+    from driftloom.sources import events
+
+    full = '{"message":{"model":"m","usage":{"input_tokens":1,"cache_creation_input_tokens":2,"cache_read_input_tokens":3}}}'
+    start = "event: message_start\n"
+    cases = {
+        f"{start}data: {full}\n": ("m", 2, 3, 1),
+        f"event:message_start\r\ndata:{full}\r\n": ("m", 2, 3, 1),
+        f"{start}data: {{}}\ndata: {full.replace('m', 'm', 1)}": ("m", 2, 3, 1),
+        f"{start}data: {full.replace('model', 'other')}\n": None,
+        f"{start}data: {full.replace('input_tokens', 'output', 1)}\n": None,
+        f"event: ping\ndata: {full}\n": None,
+        f"{start}event: ping\ndata: {full}\n": None,
+        f"x{start}data: {full}\n": None,
+        ": " + "é" * 32_600 + f"\n{start}data: {full}\n": ("m", 2, 3, 1),
+        ": " + "é" * 32_760 + f"\n{start}data: {full}\n": None,  # past the cap in bytes, not in characters
+        "": None,
+        None: None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, body string")
+    out = {r["k"]: r["u"] for r in df.select("k", events.usage(F.col("body")).alias("u")).collect()}
+    assert [tuple(out[k]) if out[k] else None for k in range(len(cases))] == list(cases.values())
+
+
+def test_store_appends(spark, tmp_path):
+    store = refs.RefStore(spark, str(tmp_path / "store"))
+    put = lambda *texts: store.put(spark.createDataFrame([(bytearray(t.encode()), t, "s", "k", 1.0) for t in texts], "original binary, source_uuid string, session_id string, kind string, created_at double"))
+    put("a", "b")
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("originals/*.parquet")}
+    ref = store.rows().where("source_uuid = 'a'").first()["ref_id"]
+    store.retrieve("s", ref, now=3.0)
+    store.pin(ref)
+    store.pin(ref, False)
+    put("a", "c")
+    assert all(p.stat().st_mtime_ns == t for p, t in files.items()) and store.generation() == 1
+    assert {(r["source_uuid"], r["access_count"], r["pinned"]) for r in store.rows().collect()} == {("a", 1, False), ("b", 0, False), ("c", 0, False)}
+    store.pin(ref)
+    for _ in range(3):
+        store.collect(spark.createDataFrame([], "ref_id string"), now=99.0, grace=1.0, most=1)
+    left = {r["source_uuid"] for r in store.rows().collect()}
+    assert len(left) == 2 and "a" in left and store.generations() == [3, 4]
+    put("a", "b", "c")
+    assert store.rows().count() == 3
