@@ -7,6 +7,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAST_BYTES, MOST_BYTES, MOST_LINES = 1_024, 512 * 1_024, 10_000
@@ -51,6 +52,11 @@ def rebuilt(base: str, rendered: str) -> str:
     return "\n".join(out + left[at:])
 
 
+@F.arrow_udf(T.StringType())
+def rebuilt_udf(bases: pa.Array, diffs: pa.Array) -> pa.Array:
+    return pa.array([rebuilt(b, x) for b, x in zip(bases.to_pylist(), diffs.to_pylist(), strict=True)], pa.string())
+
+
 def sequential_diffs(leaves: DataFrame) -> DataFrame:
     """leaves: session_id string, seq long, tool string, content string. Adds base_seq and diff where
     a leaf is told as a difference from the latest earlier leaf of its tool that is not itself one.
@@ -75,5 +81,5 @@ def sequential_diffs(leaves: DataFrame) -> DataFrame:
                     bases[tool] = (seq, content)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(base_seq, pa.int64()), pa.array(diffs, pa.string())], names=schema.names)
 
-    ordered = leaves.select("session_id", "seq", "tool", "content").repartition("session_id").sortWithinPartitions("session_id", "seq")
+    ordered = leaves.select("session_id", "seq", "tool", "content").repartition(F.xxhash64("session_id")).sortWithinPartitions("session_id", "seq")
     return ordered.mapInArrow(run, schema)

@@ -176,9 +176,26 @@ def json_leanest(spark, d):
     return g.select("user_id", F.octet_length("small").cast("long").alias("compact_bytes"), (F.octet_length("lean") <= F.octet_length("small")).alias("never_longer"))
 
 
-@query("seq_diff")
+@query(
+    "seq_diff",
+    """WITH l AS (
+  SELECT doc_id, s.seq, CASE WHEN doc_id % 5 = 0 AND s.seq = 3 THEN 'read' ELSE 'grep' END AS tool,
+         list_transform(range(60), lambda k: CASE WHEN doc_id % 4 = 3 AND s.seq = 2 THEN 'a new line ' || k || ' in place of all of ' || doc_id
+           WHEN s.seq > 0 AND k = (doc_id + 7 * s.seq) % 60 THEN 'edited in ' || s.seq ELSE 'line ' || k || ' of the result that ' || doc_id || ' gives every time' END) AS lines
+  FROM documents, range(4) AS s(seq))
+SELECT doc_id::VARCHAR AS session_id, seq, tool, 0 AS base_seq, sha256(array_to_string(lines, chr(10))) AS target_sha256
+FROM l WHERE seq = 1 OR (seq = 2 AND doc_id % 4 <> 3) OR (seq = 3 AND doc_id % 5 <> 0 AND doc_id % 4 <> 3)""",
+)
 def seq_diff(spark, d):
-    return near_diff.sequential_diffs(leaves(spark, d)).where("diff is not null").select("session_id", "seq", "tool", "base_seq", "diff")
+    """Results of a tool that change a line each time, come anew, or come from another tool: what is told
+    as a difference, and the hash of what its base and the difference rebuild."""
+    line = "CASE WHEN doc_id % 4 = 3 AND seq = 2 THEN concat('a new line ', k, ' in place of all of ', doc_id) WHEN seq > 0 AND k = (doc_id + 7 * seq) % 60 THEN concat('edited in ', seq) ELSE concat('line ', k, ' of the result that ', doc_id, ' gives every time') END"
+    rows = read(spark, d, "documents").select("doc_id", F.explode(F.expr("sequence(0L, 3L)")).alias("seq"))
+    results = rows.select(F.col("doc_id").cast("string").alias("session_id"), "seq", F.expr("if(doc_id % 5 = 0 AND seq = 3, 'read', 'grep')").alias("tool"), F.expr(f"array_join(transform(sequence(0, 59), k -> {line}), '\n')").alias("content"))
+    told = near_diff.sequential_diffs(results).where("diff is not null")
+    base = results.select("session_id", F.col("seq").alias("base_seq"), F.col("content").alias("base"))
+    rebuilt = told.join(base, ["session_id", "base_seq"]).withColumn("target", near_diff.rebuilt_udf("base", "diff"))
+    return rebuilt.select("session_id", "seq", "tool", "base_seq", F.sha2("target", 256).alias("target_sha256"))
 
 
 @query(

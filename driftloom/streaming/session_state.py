@@ -76,7 +76,7 @@ def batch_states(observations: DataFrame) -> DataFrame:
         if session is not None:
             yield rows([(session, *astuple(state))])
 
-    ordered = observations.where("session_id is not null").repartition("session_id").sortWithinPartitions("session_id", "at", "seq")
+    ordered = observations.where("session_id is not null").repartition(F.xxhash64("session_id")).sortWithinPartitions("session_id", "at", "seq")
     return ordered.mapInArrow(run, ROW)
 
 
