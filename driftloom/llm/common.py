@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..scratch import shared_folder
+
 #: Bytes of text that a Python worker unfolds into words at a time.
 CHUNK_BYTES = 1 << 20
 
@@ -47,11 +48,9 @@ def release() -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="driftloom-")
+    """The shared folder of the session. A temporary one, made once, only where none is set and all runs in
+    one process, as in tests; on a cluster that is an error."""
+    folder = shared_folder(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
