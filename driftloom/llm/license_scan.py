@@ -1,7 +1,7 @@
 """License scans: ordered signature rules behind a keyword filter.
 
-Every rule is a regular expression with a label, a priority and a keyword. A text is searched once
-for all keywords; only the rules of keywords that occur are tried. Of overlapping detections the
+Every rule is a regular expression with a label, a priority and a keyword; the tags of files are read
+by their grammar. A text is searched once for all keywords; only the rules of keywords that occur are tried. Of overlapping detections the
 one of higher priority stays, then the longer one: a detection inside a kept one is suppressed.
 """
 
@@ -26,62 +26,109 @@ GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 IN_WORD = rb"[0-9a-z\x80-\xff]"
 #: Phrases that are labelled wherever their words stand consecutively (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Licenses: label, names as running text, page that holds the terms (fixed values).
+#: Licenses: label, names as running text, versions with labels of their own, page that holds the terms
+#: (fixed values). A name without a version has the label alone, with version 2.0 also -2.0, and so on.
 LICENSES = [
-    ("agpl-3.0", ["gnu affero general public license", "agpl v3", "agplv3"], "gnu.org/licenses/agpl"),
-    ("apache-2.0", ["apache license", "apache software license", "apache 2 0"], "apache.org/licenses/license-2.0"),
-    ("artistic-2.0", ["artistic license"], "perlfoundation.org/artistic-license-2-0"),
-    ("bsd-2-clause", ["simplified bsd license", "2 clause bsd", "bsd 2 clause"], "opensource.org/licenses/bsd-2-clause"),
-    ("bsd-3-clause", ["new bsd license", "3 clause bsd", "bsd 3 clause", "revised bsd license"], "opensource.org/licenses/bsd-3-clause"),
-    ("bsl-1.0", ["boost software license"], "boost.org/license_1_0"),
-    ("busl-1.1", ["business source license"], "mariadb.com/bsl11"),
-    ("cc-by", ["creative commons attribution", "cc by"], "creativecommons.org/licenses/by/"),
-    ("cc-by-nc", ["creative commons attribution noncommercial", "cc by nc"], "creativecommons.org/licenses/by-nc/"),
-    ("cc-by-nc-nd", ["creative commons attribution noncommercial noderivs", "cc by nc nd"], "creativecommons.org/licenses/by-nc-nd/"),
-    ("cc-by-nc-sa", ["creative commons attribution noncommercial sharealike", "cc by nc sa"], "creativecommons.org/licenses/by-nc-sa/"),
-    ("cc-by-nd", ["creative commons attribution noderivs", "cc by nd"], "creativecommons.org/licenses/by-nd/"),
-    ("cc-by-sa", ["creative commons attribution sharealike", "cc by sa"], "creativecommons.org/licenses/by-sa/"),
-    ("cc0-1.0", ["creative commons zero", "cc0 1 0", "cc0"], "creativecommons.org/publicdomain/zero/"),
-    ("cddl-1.0", ["common development and distribution license"], "opensource.org/licenses/cddl"),
-    ("cecill-2.1", ["cecill license", "cecill free software license"], "cecill.info/licences"),
-    ("ecl-2.0", ["educational community license"], "opensource.org/licenses/ecl-2.0"),
-    ("elastic-2.0", ["elastic license"], "elastic.co/licensing/elastic-license"),
-    ("epl-2.0", ["eclipse public license"], "eclipse.org/legal/epl"),
-    ("eupl-1.2", ["european union public licence", "european union public license"], "joinup.ec.europa.eu/collection/eupl"),
-    ("gfdl-1.3", ["gnu free documentation license", "gfdl"], "gnu.org/licenses/fdl"),
-    ("gpl", ["gnu general public license", "gnu gpl", "gplv2", "gplv3"], "gnu.org/licenses/gpl"),
-    ("isc", ["isc license"], "opensource.org/licenses/isc"),
-    ("lgpl", ["gnu lesser general public license", "lgplv2", "lgplv3", "gnu lgpl"], "gnu.org/licenses/lgpl"),
-    ("lppl-1.3c", ["latex project public license"], "latex-project.org/lppl"),
-    ("mit", ["mit license", "expat license", "x11 license"], "opensource.org/licenses/mit"),
-    ("mpl-2.0", ["mozilla public license", "mpl 2 0"], "mozilla.org/mpl"),
-    ("ms-pl", ["microsoft public license"], "opensource.org/licenses/ms-pl"),
-    ("ncsa", ["university of illinois ncsa open source license"], "opensource.org/licenses/ncsa"),
-    ("odbl-1.0", ["open database license"], "opendatacommons.org/licenses/odbl"),
-    ("ofl-1.1", ["sil open font license"], "scripts.sil.org/ofl"),
-    ("osl-3.0", ["open software license"], "opensource.org/licenses/osl-3.0"),
-    ("php-3.01", ["php license"], "php.net/license"),
-    ("polyform-nc", ["polyform noncommercial license"], "polyformproject.org/licenses/noncommercial"),
-    ("postgresql", ["postgresql licence", "postgresql license"], "opensource.org/licenses/postgresql"),
-    ("psf-2.0", ["python software foundation license"], "docs.python.org/3/license"),
-    ("public-domain", ["dedicated to the public domain", "released into the public domain"], "wiki.creativecommons.org/wiki/public_domain"),
-    ("sspl-1.0", ["server side public license"], "mongodb.com/licensing/server-side-public-license"),
-    ("unlicense", ["this is free and unencumbered software", "the unlicense"], "unlicense.org"),
-    ("upl-1.0", ["universal permissive license"], "opensource.org/licenses/upl"),
-    ("w3c", ["w3c software notice and license", "w3c software license"], "w3.org/consortium/legal/copyright-software"),
-    ("wtfpl", ["do what the fuck you want to public license", "wtfpl"], "wtfpl.net"),
-    ("zlib", ["zlib license", "zlib libpng license"], "opensource.org/licenses/zlib"),
-    ("zpl-2.1", ["zope public license"], "opensource.org/licenses/zpl"),
+    ("agpl", ["gnu affero general public license", "affero general public license", "gnu agpl", "agpl", "agplv3"], "1.0 3.0", "gnu.org/licenses/agpl"),
+    ("apache", ["apache license", "apache software license", "apache public license"], "1.0 1.1 2.0", "apache.org/licenses/license-2.0"),
+    ("artistic", ["artistic license", "perl artistic license"], "1.0 2.0", "perlfoundation.org/artistic-license-2-0"),
+    ("bsd", ["bsd license", "bsd style license", "berkeley software distribution license"], "", "opensource.org/licenses/bsd-license"),
+    ("bsd-2-clause", ["simplified bsd license", "2 clause bsd", "two clause bsd", "bsd 2 clause", "freebsd license"], "", "opensource.org/licenses/bsd-2-clause"),
+    ("bsd-3-clause", ["new bsd license", "3 clause bsd", "three clause bsd", "bsd 3 clause", "revised bsd license", "modified bsd license"], "", "opensource.org/licenses/bsd-3-clause"),
+    ("bsd-4-clause", ["original bsd license", "4 clause bsd", "bsd 4 clause"], "", "spdx.org/licenses/bsd-4-clause"),
+    ("bsl", ["boost software license"], "1.0", "boost.org/license_1_0"),
+    ("busl", ["business source license"], "1.1", "mariadb.com/bsl11"),
+    ("cc-by", ["creative commons attribution", "cc by"], "2.0 2.5 3.0 4.0", "creativecommons.org/licenses/by/"),
+    ("cc-by-nc", ["creative commons attribution noncommercial", "creative commons attribution non commercial", "cc by nc"], "2.0 2.5 3.0 4.0", "creativecommons.org/licenses/by-nc/"),
+    ("cc-by-nc-nd", ["creative commons attribution noncommercial noderivs", "creative commons attribution noncommercial noderivatives", "cc by nc nd"], "2.0 2.5 3.0 4.0", "creativecommons.org/licenses/by-nc-nd/"),
+    ("cc-by-nc-sa", ["creative commons attribution noncommercial sharealike", "cc by nc sa"], "2.0 2.5 3.0 4.0", "creativecommons.org/licenses/by-nc-sa/"),
+    ("cc-by-nd", ["creative commons attribution noderivs", "creative commons attribution noderivatives", "cc by nd"], "2.0 2.5 3.0 4.0", "creativecommons.org/licenses/by-nd/"),
+    ("cc-by-sa", ["creative commons attribution sharealike", "creative commons attribution share alike", "cc by sa"], "2.0 2.5 3.0 4.0", "creativecommons.org/licenses/by-sa/"),
+    ("cc0", ["creative commons zero", "cc0"], "1.0", "creativecommons.org/publicdomain/zero/"),
+    ("cddl", ["common development and distribution license", "cddl"], "1.0 1.1", "opensource.org/licenses/cddl"),
+    ("cecill", ["cecill license", "cecill free software license"], "1.0 2.0 2.1", "cecill.info/licences"),
+    ("cpl", ["common public license"], "1.0", "opensource.org/licenses/cpl"),
+    ("ecl", ["educational community license"], "1.0 2.0", "opensource.org/licenses/ecl-2.0"),
+    ("elastic", ["elastic license"], "1.0 2.0", "elastic.co/licensing/elastic-license"),
+    ("epl", ["eclipse public license"], "1.0 2.0", "eclipse.org/legal/epl"),
+    ("eupl", ["european union public licence", "european union public license"], "1.0 1.1 1.2", "joinup.ec.europa.eu/collection/eupl"),
+    ("gfdl", ["gnu free documentation license", "gfdl"], "1.1 1.2 1.3", "gnu.org/licenses/fdl"),
+    ("gpl", ["gnu general public license", "gnu gpl", "gnu public license", "gpl", "gplv1", "gplv2", "gplv3"], "1.0 2.0 3.0", "gnu.org/licenses/gpl"),
+    ("isc", ["isc license"], "", "opensource.org/licenses/isc"),
+    ("lgpl", ["gnu lesser general public license", "gnu library general public license", "lesser general public license", "gnu lgpl", "lgpl", "lgplv2", "lgplv3"], "2.0 2.1 3.0", "gnu.org/licenses/lgpl"),
+    ("lppl", ["latex project public license"], "1.0 1.1 1.2 1.3", "latex-project.org/lppl"),
+    ("mit", ["mit license", "mit licence", "expat license", "x11 license"], "", "opensource.org/licenses/mit"),
+    ("mpl", ["mozilla public license", "mpl"], "1.0 1.1 2.0", "mozilla.org/mpl"),
+    ("ms-pl", ["microsoft public license"], "", "opensource.org/licenses/ms-pl"),
+    ("ms-rl", ["microsoft reciprocal license"], "", "opensource.org/licenses/ms-rl"),
+    ("ncsa", ["university of illinois ncsa open source license"], "", "opensource.org/licenses/ncsa"),
+    ("odbl", ["open database license"], "1.0", "opendatacommons.org/licenses/odbl"),
+    ("ofl", ["sil open font license"], "1.0 1.1", "scripts.sil.org/ofl"),
+    ("osl", ["open software license"], "1.0 2.0 2.1 3.0", "opensource.org/licenses/osl-3.0"),
+    ("php", ["php license"], "3.0 3.01", "php.net/license"),
+    ("polyform-nc", ["polyform noncommercial license"], "1.0.0", "polyformproject.org/licenses/noncommercial"),
+    ("postgresql", ["postgresql licence", "postgresql license"], "", "opensource.org/licenses/postgresql"),
+    ("psf", ["python software foundation license"], "2", "docs.python.org/3/license"),
+    ("public-domain", ["dedicated to the public domain", "released into the public domain", "placed in the public domain"], "", "wiki.creativecommons.org/wiki/public_domain"),
+    ("sspl", ["server side public license"], "1", "mongodb.com/licensing/server-side-public-license"),
+    ("unlicense", ["this is free and unencumbered software", "the unlicense"], "", "unlicense.org"),
+    ("upl", ["universal permissive license"], "1.0", "opensource.org/licenses/upl"),
+    ("w3c", ["w3c software notice and license", "w3c software license"], "", "w3.org/consortium/legal/copyright-software"),
+    ("wtfpl", ["do what the fuck you want to public license", "wtfpl"], "", "wtfpl.net"),
+    ("zlib", ["zlib license", "zlib libpng license"], "", "opensource.org/licenses/zlib"),
+    ("zpl", ["zope public license"], "1.1 2.0 2.1", "opensource.org/licenses/zpl"),
 ]
-#: Sentences around a name: how certain they make it (0 to 100), before it, after it (fixed values).
+#: Sentences of license texts and notices, as their words stand: label, words (fixed values).
+SENTENCES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", "distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations"),
+    ("apache-1.1", "this product includes software developed by the apache software foundation"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-2.0", "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3.0", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3.0", "gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3.0", "gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0-1.0", "has waived all copyright and related or neighboring rights to this work"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("artistic-2.0", "you are permitted to use the standard version and create and use modified versions for any purpose without restriction provided that you do not distribute the modified version"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ncsa", "to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("proprietary", "this software is the confidential and proprietary information of"),
+    ("proprietary", "no part of this publication may be reproduced distributed or transmitted in any form or by any means"),
+]
+#: What stands around a name: how certain that makes it (0 to 100), before it, after it (fixed values).
 FRAMES = [
-    (95, rb"(?:licen[sc]ed|released|distributed|published|available|provided)\s+under\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?", rb"(?:[\s,]+(?:version|v)\s*\d[\d.]*)?(?:\s+or\s+(?:any\s+)?later)?"),
-    (90, rb"subject\s+to\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?", rb"(?:[\s,]+(?:version|v)\s*\d[\d.]*)?"),
-    (85, rb"(?:a\s+copy|copies)\s+of\s+the\s+", rb""),
-    (80, rb"", rb"[\s,]+(?:version|v)\s*\d[\d.]*(?:\s+or\s+(?:any\s+)?later)?"),
+    (94, rb"(?:licen[sc]ed|released|distributed|published|available|provided)\s+under\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?", rb""),
+    (88, rb"subject\s+to\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?", rb""),
+    (84, rb"(?:a\s+copy|copies)\s+of\s+the\s+", rb""),
     (70, rb"see\s+(?:the\s+)?", rb"\s+for\s+(?:more\s+)?details"),
     (60, rb"", rb""),
 ]
+#: Between a name and its version, and what may follow that.
+VERSION = rb"(?:[\s,(-]+(?:version|v\.?)?\s*|v)"
+LATER = rb"(?:\s+or\s+(?:any\s+)?later)?"
 #: Words of many names, which tell little when they occur.
 COMMON = frozenset("license licence public software general free open source the this is and".split())
 
@@ -115,17 +162,61 @@ def telling(name: str) -> str:
     return max([w for w in words if w not in COMMON and len(w) >= 5] or words, key=len)
 
 
+def versions(label: str, known: str) -> list[tuple[str, bytes]]:
+    """(label, how the version is written): 2.0 also as 2, as long as no other known version begins so."""
+    out = []
+    for v in known.split():
+        short = v.removesuffix(".0")
+        shape = re.escape(short.encode()) + (rb"(?:\.0)?" if short != v else rb"")
+        out.append((f"{label}-{v}", shape + rb"(?![0-9]|\.[0-9])"))
+    return out
+
+
 def rule_table() -> list[Rule]:
-    """Every name of a license in every frame, its SPDX tag and its page; and the base phrases."""
+    """The base phrases; every license by its page, and its names, with each version and without, in every
+    frame; and the sentences of texts and notices."""
     rules = [Rule(label, 50, max(p.split(), key=len), re.compile(spaced(p)), True) for p, label in PHRASES.items()]
-    for label, names, page in LICENSES:
-        rules.append(Rule(label, 100, "spdx-license-identifier", re.compile(rb"spdx-license-identifier:\s*" + re.escape(label.encode()) + rb"(?:-only|-or-later)?(?![\w.-])")))
+    rules += [Rule(label, 97, telling(sentence), re.compile(spaced(sentence))) for label, sentence in SENTENCES]
+    for label, names, known, page in LICENSES:
         rules.append(Rule(label, 98, page, re.compile(re.escape(page.encode()))))
         for name in names:
-            rules += [Rule(label, priority, telling(name), re.compile(before + spaced(name) + after)) for priority, before, after in FRAMES]
+            own, glued = name, ""
+            if m := re.fullmatch(r"(.*[a-z])v(\d)", name):
+                own, glued = m[1], f"{label}-{m[2]}.0"
+            for priority, before, after in FRAMES:
+                if glued:
+                    rules.append(Rule(glued, priority + 1, name, re.compile(before + spaced(name) + LATER + after)))
+                    continue
+                rules.append(Rule(label, priority, telling(name), re.compile(before + spaced(own) + after)))
+                rules += [Rule(one, priority + 1, telling(name), re.compile(before + spaced(own)[: -len(rb"(?!" + IN_WORD + rb")")] + VERSION + shape + LATER + after)) for one, shape in versions(label, known)]
     return rules
 
 
+#: The tag of a file's license, and the words of its expression.
+SPDX, SPDX_WORD = re.compile(rb"spdx-license-identifier:"), re.compile(rb"[ \t]*\(*[ \t]*([a-z0-9][a-z0-9.+-]*)[ \t]*\)*")
+
+
+def spdx(low: bytes) -> list[Detection]:
+    """The identifiers in tags: joined by and or or; what follows with is an exception; -only, -or-later
+    and + do not make another license."""
+    found = []
+    for tag in SPDX.finditer(low):
+        at, joined = tag.end(), True
+        while m := SPDX_WORD.match(low, at):
+            word, at = m[1].decode(), m.end()
+            if word in ("and", "or"):
+                joined = True
+            elif word == "with":
+                at = skipped.end() if (skipped := SPDX_WORD.match(low, at)) else at
+            elif joined:
+                label = re.sub(r"(?:-only|-or-later|\+)$", "", word.rstrip("."))
+                found.append(Detection(m.start(1), m.end(1), label, 100, False))
+                joined = False
+            else:
+                break
+    return found
+
+
 class Scanner:
     def __init__(self, rules: list[Rule]):
         self.by_keyword: dict[str, list[Rule]] = {}
@@ -144,6 +235,7 @@ class Scanner:
             for r in self.by_keyword[k]
             for m in r.pattern.finditer(low)
         ]
+        found += spdx(low)
         return [d for d in found if d.base], suppressed(found)
 
 

@@ -553,13 +553,53 @@ def test_license_base_brute_force(spark):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
 
 
+LICENSE_CASES = {
+    "Licensed under the Apache License, Version 2.0 (the License)": [("apache-2.0", 95)],
+    "Apache License, Version 1.1": [("apache-1.1", 61)],
+    "Mozilla Public License 1.1": [("mpl-1.1", 61)],
+    "Mozilla Public License, v. 2.0": [("mpl-2.0", 61)],
+    "SPDX-License-Identifier: MIT": [("mit", 100)],
+    "// SPDX-License-Identifier: GPL-2.0-only": [("gpl-2.0", 100)],
+    "SPDX-License-Identifier: GPL-3.0-or-later WITH GCC-exception-3.1 */": [("gpl-3.0", 100)],
+    "SPDX-License-Identifier: (Apache-2.0 OR MIT)\nCopyright": [("apache-2.0", 100), ("mit", 100)],
+    "SPDX-License-Identifier: LGPL-2.1+ by others": [("lgpl-2.1", 100)],
+    "released under the GNU Lesser General Public License v3": [("lgpl-3.0", 95)],
+    "under the GNU General Public License version 2 or later": [("gpl-2.0", 61)],
+    "it is GPLv3": [("gpl-3.0", 61)],
+    "it is GPL-2.0": [("gpl-2.0", 61)],
+    "the BSD License": [("bsd", 60)],
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")": [("mit", 97)],
+    "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:": [("bsd", 97)],
+    "GNU General Public License": [("gpl", 60)],
+    "Apache License, version 7.3": [("apache", 60)],
+    "nothing of the kind, mit freundlichen Grüßen": [],
+}
+
+
 def test_license_rules():
-    assert len(license_scan.rule_table()) > 400
-    scan = lambda t: [(d.label, d.priority) for d in license_scan.scanner().scan(t.lower().encode())[1]]
-    assert scan("Licensed under the Apache License, Version 2.0 (the License)") == [("apache-2.0", 95)]
-    assert scan("SPDX-License-Identifier: MIT") == [("mit", 100)]
-    assert scan("released under the GNU Lesser General Public License v3") == [("lgpl", 95)]
-    assert scan("nothing of the kind, mit freundlichen Grüßen") == []
+    rules = license_scan.rule_table()
+    assert len(rules) > 400
+    for t, want in LICENSE_CASES.items():
+        assert [(d.label, d.priority) for d in license_scan.scanner().scan(t.lower().encode())[1]] == want, t
+
+
+def test_every_sentence_and_name_is_found():
+    scan = license_scan.scanner().scan
+    for label, sentence in license_scan.SENTENCES:
+        assert label in {d.label for d in scan(sentence.encode())[1]}
+    for label, names, _, _ in license_scan.LICENSES:
+        for name in names:
+            assert any(d.label.startswith(label.split("-")[0]) or label == "public-domain" for d in scan(name.encode())[1]), name
+
+
+def test_the_filter_hides_no_rule():
+    """Labels equal those of all rules tried on every text, without keywords."""
+    rng, rules = random.Random(13), license_scan.rule_table()
+    parts = [*LICENSE_CASES, "and", "or later", "version 2", ", ", "\n", "see the", "for details"]
+    for _ in range(150):
+        low = " ".join(rng.choices(parts, k=rng.randint(1, 5))).lower().encode()
+        every = [license_scan.Detection(m.start(), m.end(), r.label, r.priority, r.base) for r in rules for m in r.pattern.finditer(low)]
+        assert license_scan.scanner().scan(low)[1] == license_scan.suppressed(every + license_scan.spdx(low))
 
 
 def test_suppression():
