@@ -84,7 +84,7 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return token_counts.token_counts(docs, vocabulary(), limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return token_counts.token_counts(docs, vocabulary(), limit=1024, keep_text=False).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from harness import DATA, spark_rows, sql_rows
@@ -92,6 +94,48 @@ def test_token_counts_equal_the_library(spark):
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(text(r["text"]).encode()), n > 5)
 
 
+@pytest.mark.parametrize("group_bytes", [1, 5_000])
+def test_token_counts_do_not_depend_on_groups(spark, monkeypatch, group_bytes):
+    want = [(r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(awkward(spark), BPE).collect()]
+    monkeypatch.setattr(token_counts, "GROUP_BYTES", group_bytes)
+    out = token_counts.token_counts(awkward(spark, "_group _used words Text2"), BPE, keep_text=False)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "_group", "_used", "words", "Text2", "n_bytes", "n_tokens", "over_limit"]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_tokens"])) for r in out.collect())
+
+
+def test_token_counts_of_texts_without_words(spark):
+    rows = [(1, None), (2, ""), (2, ""), (3, "<|endoftext|>")]
+    for some in (rows[:3], rows):
+        out = token_counts.token_counts(spark.createDataFrame(some, "doc_id long, text string").coalesce(1), BPE).collect()
+        assert sorted((r["doc_id"], r["n_tokens"]) for r in out) == sorted((i, len(library().encode(t or "", add_special_tokens=False).ids)) for i, t in some)
+
+
+def test_packed_numbers_round_trip():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 4_000):
+        v = rng.integers(0, 1 << rng.integers(1, 41, n), dtype=np.int64) if n else np.zeros(0, np.int64)
+        raw, at = token_counts.packed(v)
+        assert token_counts.unpacked(raw).tolist() == v.tolist() and at[-1] == len(raw)
+
+
+def test_each_distinct_word_is_merged_once(spark, monkeypatch):
+    """Equal words of different groups and of adjacent batches are not merged again."""
+    words = sorted(["a", "b", "b", "bb", " the"] + [" of"] * 50)
+    entries = spark.createDataFrame([(w, i, i) for i, w in enumerate(words)], "word string, group long, at int").coalesce(1)
+    seen = []
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            batches = [pa.RecordBatch.from_pylist([r.asDict() for r in entries.collect()[k : k + 7]]) for k in range(0, len(words), 7)]
+            return [r for b in run(iter(batches)) for r in b.to_pylist()]
+
+    merge = bpe.ByteBPE.merge
+    monkeypatch.setattr(bpe.ByteBPE, "merge", lambda self, ws: seen.extend(ws) or merge(self, ws))
+    out = token_counts.piece_counts(Rows(), BPE)
+    assert sorted(seen) == sorted(set(words))
+    assert [r["n"] for r in out] == [len(library().encode(w, add_special_tokens=False).ids) for w in words]
+
+
 # 2
 
 
