@@ -24,7 +24,7 @@ from .bpe import load
 from .common import arrow_type, chunks, fresh, release, without, written
 
 #: Bytes of text whose documents share a dictionary (a longer text has one of its own). Plans only.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 32 << 20
 
 
 def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +116,8 @@ def frequencies(df: DataFrame, path: str, names: dict[str, str], text_col: str,
 
 
 def piece_counts(entries: DataFrame, path: str) -> DataFrame:
-    """(group, at, n) for rows (word, group, at) whose equal words are adjacent: each word is merged once."""
+    """(group, counted) for rows (word, group, at) whose equal words are adjacent: each word is merged once.
+    counted is the number of the word in its group, shifted by 32 bits, and its pieces."""
 
     def run(batches):
         bpe, last, last_n = load(path), None, 0
@@ -130,10 +131,11 @@ def piece_counts(entries: DataFrame, path: str) -> DataFrame:
                 n[known + lo : known + hi] = np.diff(bpe.merge(words[known + lo : known + hi])[1])
             if words:
                 last, last_n = words[-1], n[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n[coded.indices.to_numpy()], pa.int64())], names=["group", "at", "n"])
+            counted = batch.column(2).to_numpy().astype(np.int64) << 32 | n[coded.indices.to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(counted, pa.int64())], names=["group", "counted"])
         release()
 
-    return entries.mapInArrow(run, "group long, at int, n long")
+    return entries.mapInArrow(run, "group long, counted long")
 
 
 def token_counts(df: DataFrame, path: str, limit: int = 1024, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -160,7 +162,8 @@ def token_counts(df: DataFrame, path: str, limit: int = 1024, text_col: str = "t
 
     def add_up(rows: pa.Table, counted: pa.Table) -> pa.Table:
         pieces = np.zeros(len(counted), np.int64)
-        pieces[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
+        word = counted.column("counted").to_numpy()
+        pieces[word >> 32] = word & 0xFFFFFFFF
         raw, _ = bytes_of(rows.column(held["used"]))
         step = unpacked(raw)
         raw, size = bytes_of(rows.column(held["times"]))
