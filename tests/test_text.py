@@ -125,6 +125,101 @@ def test_leanest_is_never_longer():
     assert jsontext.leanest("nope") is None
 
 
+def read_cell(c):
+    return json.loads(c) if re.fullmatch(r'".*"|true|false|null|-?[0-9.]+', c, re.S) else c
+
+
+def read_toon(lines, at, depth):
+    """A plain reader: (value, line after it) of what begins at a line, whose indentation is gone."""
+    key = r'(?:"(?:[^"\\\\]|\\\\.)*"|[A-Za-z_][A-Za-z0-9_.]*)'
+    name = lambda k: json.loads(k) if k[0] == '"' else k
+    level = lambda k: len(lines[k]) - len(lines[k].lstrip(" ")) if k < len(lines) else -1
+
+    def array(rest, at, depth):
+        n, fields, cells = re.fullmatch(r"\[(\d+)\t\](?:\{(.*)\})?:(?: (.*))?", rest, re.S).groups()
+        if fields is not None:
+            rows = [lines[at + 1 + i].strip(" ").split("\t") for i in range(int(n))]
+            return [dict(zip(map(name, fields.split("\t")), map(read_cell, r), strict=True)) for r in rows], at + 1 + int(n)
+        if cells is not None or n == "0":
+            return [] if n == "0" else list(map(read_cell, cells.split("\t"))), at + 1
+        out, at = [], at + 1
+        for _ in range(int(n)):
+            item = lines[at].strip(" ")[2:]
+            if not item:
+                out, at = [*out, {}], at + 1
+            elif item[0] == "[":
+                v, at = array(item, at, depth + 2)
+                out.append(v)
+            elif re.match(key + r"(?::|\[\d+\t\])", item):
+                lines[at] = " " * (depth + 4) + item
+                v, at = read_toon(lines, at, depth + 4)
+                out.append(v)
+            else:
+                out, at = [*out, read_cell(item)], at + 1
+        return out, at
+
+    if lines[at].lstrip(" ").startswith("["):
+        return array(lines[at].lstrip(" "), at, depth)
+    out = {}
+    while level(at) == depth:
+        k, rest = re.fullmatch(f"({key})(.*)", lines[at].lstrip(" "), re.S).groups()
+        if rest[0] == "[":
+            out[name(k)], at = array(rest, at, depth)
+        elif rest != ":":
+            out[name(k)], at = read_cell(rest[2:]), at + 1
+        elif level(at + 1) > depth:
+            out[name(k)], at = read_toon(lines, at + 1, depth + 2)
+        else:
+            out[name(k)], at = {}, at + 1
+    return out, at
+
+
+def read_tron(text):
+    """Calls of a class become objects of its keys."""
+    heads, body = text.split("\n\n", 1)
+    classes = {m[1]: json.loads("[" + re.sub(r"(^|,)([A-Za-z_]\w*)(?=,|$)", r'\1"\2"', m[2]) + "]") for m in re.finditer(r"^class (\w+): (.*)$", heads, re.M)}
+    marked = re.sub(r'("(?:[^"\\]|\\.)*")|([A-Z]\d*)\(|\)', lambda m: m[1] or (f'{{"class":"{m[2]}","values":[' if m[2] else "]}"), body)
+    made = lambda o: dict(zip(classes[o["class"]], o["values"], strict=True)) if list(o) == ["class", "values"] else o
+    return json.loads(marked, object_hook=made)
+
+
+def random_value(rng, depth):
+    kind = rng.randint(0, 3 if depth else 1)
+    if kind < 2:
+        return rng.choice(["x", "", "a b", " pad", "null", "12", "-", "a:b", "q\"\\", "é\n", "t\tt", "[1]", 0, -5, 1.5, 100, True, False, None])
+    if kind == 2:
+        return {k: random_value(rng, depth - 1) for k in rng.sample(["id", "a b", "x.y", "", "n-1", "k", "2"], rng.randint(0, 3))}
+    if rng.random() < 0.4:
+        return [{"id": random_value(rng, 0), "a:b": random_value(rng, 0)} for _ in range(rng.randint(2, 4))]
+    return [random_value(rng, depth - 1) for _ in range(rng.randint(0, 4))]
+
+
+def test_toon_and_tron_round_trip():
+    rng, both = random.Random(5), [0, 0]
+    for _ in range(3_000):
+        value = random_value(rng, 4)
+        if not isinstance(value, dict | list) or not value:
+            continue
+        parsed = jsontext.LOSSLESS.decode(json.dumps(value, ensure_ascii=False))
+        said = jsontext.toon(parsed)
+        assert read_toon(said.split("\n"), 0, 0)[0] == value, said
+        if (said := jsontext.tron(parsed)) is not None:
+            assert read_tron(said) == value, said
+            both[1] += 1
+        both[0] += 1
+    assert both[0] > 500 and both[1] > 100
+
+
+def test_leanest_encodings():
+    assert jsontext.toon(jsontext.DECODER.decode('{"a":{"b":[1,"x y"]},"r":[{"i":1,"n":"u"},{"i":2,"n":"v"}]}')) == "a:\n  b[2\t]: 1\tx y\nr[2\t]{i\tn}:\n  1\tu\n  2\tv"
+    assert jsontext.tron(jsontext.DECODER.decode('[{"i":1.0,"n":[]},{"i":2,"n":{"z":0}}]')) == 'class A: i,n\n\n[A(1.0,[]),A(2,{"z":0})]'
+    for number in ("1E6", "1.0", "-0", "12345678901234567890"):  # would not come back as they were written
+        assert jsontext.toon(jsontext.DECODER.decode(f"[{number}]")) is None
+    for text in ('{"a":1,"a":2}', '[{"a":"\\ud800"},{"a":"\\ud800"}]', "[]", "{}", "3", '"x"', "[" * 400 + "]" * 400):
+        assert len(jsontext.leanest(text)) <= len(text)
+    assert jsontext.leanest('{"a":1,"a":2}') == '{"a":1,"a":2}'
+
+
 def test_difference_rebuilds():
     rng = random.Random(3)
     made = 0
