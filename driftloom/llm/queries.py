@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, filter_audit, hard_negatives, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts
+from . import bpe, exact_dedup, filter_audit, hard_negatives, license_scan, mixing, pieces, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts
 from .common import documents, labels
 
 
@@ -107,6 +107,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.METRICS, "base_failed", "kept")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pieces.encode(docs, vocabulary("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "spans_sha256", "decoded_sha256")).drop("text")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
@@ -178,6 +183,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_sentencepiece": op11_sentencepiece,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
