@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -82,9 +82,8 @@ def replayed(flags: DataFrame, letters: str = LETTERS) -> DataFrame:
     counted = steps.groupBy("part", "filter_order", "step").agg(*[F.sum(F.when(when[c], F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))).alias(c) for c in COUNTS])
     named = counted.withColumn("filter", F.substring("filter_order", F.col("step"), F.lit(1)))
     # a part has orders x steps rows by now, however many documents it has
-    whole = named.groupBy(F.col("part").alias("_part"), F.col("filter").alias("_filter")).agg(F.sum("removed").alias("shapley"))
-    joined = named.join(whole, (F.col("part") == F.col("_part")) & (F.col("filter") == F.col("_filter")))
-    return joined.select("part", "filter_order", "step", "filter", *COUNTS, "shapley")
+    whole = F.sum("removed").over(Window.partitionBy("part", "filter"))
+    return named.withColumn("shapley", whole).select("part", "filter_order", "step", "filter", *COUNTS, "shapley")
 
 
 def audit(docs: DataFrame, marks: DataFrame) -> DataFrame:
