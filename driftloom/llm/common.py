@@ -100,6 +100,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def aside(df: DataFrame, names: set[str], *used: str) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """df with those of its columns that have one of the names put under fresh ones; how to name them back; and what
+    the used columns are called now."""
+    low = {n.lower() for n in names}
+    clashing = [c for c in df.columns if c.lower() in low]
+    moved = dict(zip(clashing, fresh(df, *[f"own{k}" for k in range(len(clashing))]), strict=True))
+    found = [next((m for c, m in moved.items() if c.lower() == u.lower()), u) for u in used]
+    return df.withColumnsRenamed(moved) if moved else df, {m: c for c, m in moved.items()}, found
+
+
 def chunks(sizes: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes each; a longer row is a range of its own, never cut."""
     at, held = 0, 0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, with_text_columns, without, written
+from .common import aside, checkpointed, with_text_columns, without, written
 
 STATS = (
     "log_bytes", "log_words", "word_bytes", "distinct_words", "top_word", "repeat_next", "repeat_pairs", "upper", "digits",
@@ -193,9 +193,10 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Of the other labelled rows at most LEARNED_ROWS are learned from, chosen by a hash of the id;
     a score depends on the text alone. Labels of one id are averaged and rounded, null labels
     ignored. Null texts count as empty and are scored like them; rows with a null id are scored and
-    not held out; repeated rows get equal scores; an empty table gives an empty table; without any
+    not held out; repeated rows get equal scores; whole texts of any length count; an empty table gives an empty table; without any
     label every score is 0.5; columns named like an added one are replaced.
     """
+    df, back, (id_col, text_col) = aside(df, {"stats"}, id_col, text_col)
     stats = written(without(with_stats(df, text_col), {text_col, "held_out", "score", "predicted"}), "stats")
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
@@ -207,4 +208,4 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.select("stats", "label", (F.floor(F.col("_crc") / 3) % 5).cast("int").alias("fold"))
     model = fit(rows)
     held = F.coalesce(crc % 3 == 1, F.lit(False))
-    return score(stats, model).withColumn("held_out", held)
+    return score(stats, model).withColumn("held_out", held).withColumnsRenamed(back)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fresh, release, with_text_columns, without, written
+from .common import aside, checkpointed, fresh, release, with_text_columns, without, written
 from .components import components
 
 #: The fingerprints of one bucket that a task holds together; larger buckets are dealt in blocks.
@@ -331,19 +331,19 @@ def near_groups(
     dealt in blocks, every two of which meet in some task; nothing is capped.
     Texts without words (null, empty) have fingerprint 0 and are linked like others; shorter texts
     are one shingle; rows with a null id take part, and get the smallest other id, or null if none
-    is there; repeated rows get equal results; an empty table gives an empty table; columns named
-    like an added one are replaced.
+    is there; repeated rows get equal results; texts of any length are read whole; an empty table gives an empty
+    table; columns named fingerprint or component_id are replaced.
     """
     fps = [f"fp{k}" for k in range(words)]
-    df = without(df, {"fingerprint", "component_id", *fps})
+    df, back, (id_col, text_col) = aside(without(df, {"fingerprint", "component_id"}), set(fps), id_col, text_col)
     marked = with_fingerprints(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")), shingle, words, distinct).drop("text")
     marked = written(marked, "fingerprints")
     found = component_ids(marked, words, radius, similarity, hexed(words))
     if df.columns == [id_col] or set(df.columns) == {id_col, text_col}:
         rows = marked.select(F.col("i").alias(id_col), hexed(words).alias("fingerprint"))
-        return rows.join(found, "fingerprint").select(id_col, "fingerprint", "component_id")
+        return rows.join(found, "fingerprint").select(id_col, "fingerprint", "component_id").withColumnsRenamed(back)
     rows = with_fingerprints(df, shingle, words, distinct, text_col)
-    return rows.withColumn("fingerprint", hexed(words)).drop(*fps).join(found, "fingerprint")
+    return rows.withColumn("fingerprint", hexed(words)).drop(*fps).join(found, "fingerprint").withColumnsRenamed(back)
 
 
 def hexed(words: int) -> Column:
@@ -552,14 +552,14 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     else:
         found = component_ids(marked, words, radius, None, hexed(words), "best").withColumnRenamed("fingerprint", "node")
     stay = marked.drop(*fps).join(found, "node").where(F.col("best").eqNullSafe(F.col("component_id")))
-    stay = checkpointed(stay.groupBy(F.col("i").alias("_i"), F.col("th").alias("_th")).agg(F.count(F.lit(1)).alias("_n")))
+    one, hashed, times = fresh(df, "i", "th", "n")
+    stay = checkpointed(stay.groupBy(F.col("i").alias(one), F.col("th").alias(hashed)).agg(F.count(F.lit(1)).alias(times)))
 
     def rows_of(some: DataFrame, ids: DataFrame) -> DataFrame:
-        return some.join(ids, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_th")), "left_semi")
+        return some.join(ids, F.col(id_col).eqNullSafe(F.col(one)) & (F.xxhash64(text) == F.col(hashed)), "left_semi")
 
-    twice = stay.where("_n > 1")
+    twice = stay.where(F.col(times) > 1)
     if twice.isEmpty():
         return rows_of(df, stay)
-    (th,) = fresh(df, "th")
-    again = rows_of(df, twice).withColumn(th, F.xxhash64(text)).dropDuplicates([id_col, th]).drop(th)
-    return rows_of(df, stay.where("_n = 1")).union(again)
+    again = rows_of(df, twice).withColumn(hashed, F.xxhash64(text)).dropDuplicates([id_col, hashed]).drop(hashed)
+    return rows_of(df, stay.where(F.col(times) == 1)).union(again)

@@ -760,3 +760,24 @@ COLUMNS = {
 def test_queries_return_every_document(spark, name):
     df = queries.QUERIES[name](spark, SF)
     assert set(COLUMNS[name].split()) <= set(df.columns) and df.count() == documents_of(spark).count()
+
+
+def test_columns_named_like_helpers_stay(spark):
+    """Whatever an operator calls its own columns, those of its input come out as they were."""
+    names = "_i _th _n i th fp0 fp1 FP2 fp3 fp4 node best stats _stats key root _own0 _row u v".split()
+    docs = awkward(spark, " ".join(names))
+    plain = awkward(spark)
+    near = simhash.one_of_each(docs, shingle=5, words=4, radius=58, similarity=0.8, distinct=True)
+    assert near.columns == docs.columns
+    want = simhash.one_of_each(plain, shingle=5, words=4, radius=58, similarity=0.8, distinct=True)
+    assert sorted(map(str, (r["doc_id"] for r in near.collect()))) == sorted(map(str, (r["doc_id"] for r in want.collect())))
+    assert {r[n] for r in near.collect() for n in names} == {"mine"}
+    groups = simhash.near_groups(docs)
+    assert set(names) <= set(groups.columns) and {r[n] for r in groups.collect() for n in names} == {"mine"}
+    pair = lambda df: sorted(str((r["doc_id"], r["fingerprint"], r["component_id"])) for r in df.collect())
+    assert pair(groups) == pair(simhash.near_groups(plain))
+    marks = spark.createDataFrame([(i, i % 2) for i in range(0, 50)], "doc_id long, quality int")
+    scored = quality_classifier.classify(docs, marks)
+    assert {r[n] for r in scored.collect() for n in names} == {"mine"} and scored.count() == docs.count()
+    for out in (bpe.encode(docs, BPE), suffix_dedup.remove_repeats(docs)):
+        assert out.count() == docs.count()
