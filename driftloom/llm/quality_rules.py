@@ -22,13 +22,13 @@ WINDOW = 8
 #: For each language or script the bands outside of which a text is rejected: characters per token
 #: (least, most), most share of tokens that are pieces of a character, least token entropy as a
 #: share of the entropy of as many tokens all different, in a text of 1,024 tokens. for
-#: languages just outside of what clean documents have, for scripts between prose and random letters.
+#: languages what fitted_bands gives on labelled documents, for scripts between prose and random letters.
 #: A script that is not listed has no limit for pieces, as the vocabulary may have no tokens of it.
 BANDS = {
-    "en": (2.43, 7.0, 0.05, 0.61),
-    "de": (2.37, 7.0, 0.10, 0.59),
-    "fr": (2.27, 7.0, 0.08, 0.60),
-    "es": (2.33, 7.0, 0.07, 0.605),
+    "en": (2.543, 7.0, 0.01, 0.624),
+    "de": (2.614, 7.0, 0.01, 0.622),
+    "fr": (2.285, 7.0, 0.01, 0.614),
+    "es": (2.36, 7.0, 0.01, 0.601),
     "latin": (1.2, 7.0, 0.25, 0.50),
     "cyrillic": (1.0, 7.0, 0.40, 0.45),
     "greek": (0.9, 7.0, 0.50, 0.45),
@@ -41,9 +41,12 @@ BANDS = {
     "hangul": (0.7, 7.0, 0.70, 0.45),
     "other": (0.3, 7.0, 1.0, 0.40),
 }
-#: So many tokens need not hold their characters: some secrets and telephone numbers fill no more, and
-#: are much of a short clean text.
-ODD_TOKENS = 30
+#: Means over n tokens vary as 1 / sqrt(n): the least characters per token are lower by this share of the band
+#: over sqrt(n), the most pieces higher by this over sqrt(n). In clean prose characters per token have a standard
+#: deviation of 0.47 of their mean over sqrt(n), so that is 3.4 of it; pieces have 0.17 where they are 3 %.
+FLOOR_WIDTH, SHARE_WIDTH = 1.6, 0.8
+#: What fitted_bands leaves between clean documents and a band: a share of the floor, a share of tokens, a share of entropy.
+MARGINS = (0.04, 0.01, 0.025)
 #: Entropy, as a share, falls by so much with each doubling of a text.
 ENTROPY_SLOPE = 0.052
 #: Texts of fewer tokens are too short for the bands; the word rules see to them.
@@ -187,7 +190,8 @@ def judge(df: DataFrame, paths: tuple[str, str], text_col: str = "text", lang_co
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated 8-word windows. kept: not
     base_failed, and the fertility lies within the bands of the row's language; where that is null
-    or has no bands, those of its script (script_of). Texts of fewer than LEAST_TOKENS tokens skip the
+    or has no bands, those of its script (script_of). Bands widen for short texts as the measures vary there
+    (FLOOR_WIDTH, SHARE_WIDTH, ENTROPY_SLOPE). Texts of fewer than LEAST_TOKENS tokens skip the
     bands, of fewer than LEAST_ENTROPY_TOKENS that of entropy.
 
     Null text counts as empty and fails; repeated rows are judged alike; an empty table stays empty;
@@ -203,12 +207,26 @@ def judge(df: DataFrame, paths: tuple[str, str], text_col: str = "text", lang_co
     band = F.element_at(table, lang)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     n = F.col("n_tokens")
-    fertile = (F.col("chars_per_token") * n >= band[0] * (n - ODD_TOKENS)) & (F.col("chars_per_token") <= band[1])
+    root = F.sqrt(n)
+    fertile = (F.col("chars_per_token") >= band[0] * (1 - FLOOR_WIDTH / root)) & (F.col("chars_per_token") <= band[1])
     varied = (n < LEAST_ENTROPY_TOKENS) | (F.col("token_entropy") >= band[3] - ENTROPY_SLOPE * (F.log2(n) - 10))
-    apart = fertile & (F.col("byte_share") <= band[2]) & varied
+    apart = fertile & (F.col("byte_share") <= band[2] + SHARE_WIDTH / root) & varied
     return m.withColumn("base_failed", base).withColumn("kept", ~base & ((F.col("n_tokens") < LEAST_TOKENS) | apart))
 
 
+def fitted_bands(measured: DataFrame, good: str = "good", lang_col: str = "lang") -> dict[str, tuple[float, float, float, float]]:
+    """Bands of each language just outside of its good documents, one row of sums for each language.
+
+    measured: what judge gives, with a boolean column `good`; rows that fail the base rules or are too short
+    for bands are left out."""
+    n, low = F.col("n_tokens"), MARGINS
+    clean = measured.where(F.col(good) & ~F.col("base_failed") & (n >= LEAST_TOKENS))
+    found = clean.groupBy(F.lower(F.col(lang_col)).alias("lang")).agg(
+        F.min(F.col("chars_per_token") / (1 - FLOOR_WIDTH / F.sqrt(n))).alias("least"), F.max(F.col("byte_share") - SHARE_WIDTH / F.sqrt(n)).alias("share"), F.min(F.when(n >= LEAST_ENTROPY_TOKENS, F.col("token_entropy") + ENTROPY_SLOPE * (F.log2(n) - 10))).alias("entropy")
+    )
+    return {r["lang"]: (round(r["least"] * (1 - low[0]), 3), 7.0, round(max(r["share"], 0.0) + low[1], 3), round(r["entropy"] - low[2], 3)) for r in found.collect() if r["lang"] and r["entropy"] is not None}
+
+
 def keep_good(df: DataFrame, paths: tuple[str, str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of df that the rules keep, with the columns of df."""
     own = [F.col(f"`{c}`") for c in df.columns]
