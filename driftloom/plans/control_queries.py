@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..scratch import shared_folder
+from ..scratch import scratch_path
 from ..sources import control, retrieval, status
 from . import session_queries
 from .session_queries import read
@@ -94,7 +94,7 @@ def source(spark):
 
 
 def frame_folder(spark):
-    return f"{shared_folder(spark).removeprefix('file://')}/frames-{uuid.uuid4().hex}"
+    return scratch_path(spark, "frames").removeprefix("file://")
 
 
 @query("control_frames", TOLD)
@@ -108,7 +108,7 @@ def control_frames(spark, d):
 def stream_control_frames(spark, d):
     """The same from a stream that is stopped and started again while connections come."""
     rows, folder, kind = frame_lines(spark, d), frame_folder(spark), source(spark)
-    out = f"{shared_folder(spark)}/frames-read-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "frames-read")
     for part in ("file < 8", "file >= 8"):
         append_frames(rows.where(part), folder)
         save = lambda df, k: df.write.mode("overwrite").parquet(f"{out}/rows/batch={k}")
@@ -130,7 +130,7 @@ def control_in_force(spark, d):
 @query("status_snapshot", f"WITH {session_queries.SEG} SELECT count(DISTINCT session_id) AS sessions, count(*) AS segments, sum(token_estimate)::BIGINT AS tokens, max(generation)::BIGINT AS newest FROM seg")
 def status_snapshot(spark, d):
     """Counts observed while the segments of all sessions are worked out for another use, published and read back."""
-    path = f"{shared_folder(spark)}/status-{uuid.uuid4().hex}.json"
+    path = scratch_path(spark, "status.json")
     rows, seen = status.observing(
         session_queries.segs(spark, d), sessions=F.count_if(F.col("seg_index") == 0), segments=F.count(F.lit(1)), tokens=F.coalesce(F.sum("token_estimate").cast("long"), F.lit(0).cast("long")), newest=F.coalesce(F.max("generation").cast("long"), F.lit(0).cast("long"))
     )

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..operators import decision_client as C
 from ..operators import working_state as W
 from ..operators.segments import KEY
-from ..scratch import shared_folder
 from ..streaming import session_log as L
 from ..streaming.slices import run_in_slices
 from .session_queries import read
@@ -112,7 +111,7 @@ def streamed(spark, d):
     """The log of a stream that meets the events in three parts by time, and is started again for each."""
     e = events(spark, d)
     parts = [e.where(F.col("at") < 1_000_000), e.where(F.col("at").between(1_000_000, 2_499_999)), e.where((F.col("at") >= 2_500_000) | F.col("at").isNull())]
-    return run_in_slices(spark, parts, lambda s: L.stream_log(s, limits=LIMITS), L.ROW, shared_folder(spark), "append")
+    return run_in_slices(spark, parts, lambda s: L.stream_log(s, limits=LIMITS), L.ROW, "append")
 
 
 @query("session_log", LOG + SEEN)
@@ -257,7 +256,7 @@ def stream_working_state(spark, d):
     """The same, by a stream that meets the turns in three parts; the last state of each session."""
     t = turns(spark, d)
     parts = [t.where("turn < 1"), t.where("turn between 1 and 2"), t.where("turn > 2 or turn is null")]
-    rows = run_in_slices(spark, parts, W.stream_states, W.ROW, shared_folder(spark))[0]
+    rows = run_in_slices(spark, parts, W.stream_states, W.ROW)[0]
     last = rows.groupBy(KEY).agg(F.max_by(F.struct("state", "turns", "failed"), "batch").alias("s")).select(KEY, "s.*")
     return told(W.with_state(last))
 

@@ -32,11 +32,21 @@ def dirty(spark, d):
     return passes.as_leaves(rows.withColumn("content", F.concat(F.lit("\x1b[31m"), F.col("content"), F.lit("\x1b[0m  \r\n\n\n\n"), blob)))
 
 
-@query("recode_chain", "SELECT doc_id AS seg_index, true AS never_longer, true AS original_kept, true AS clean FROM documents")
+CR, NL, ESC = "chr(13)", "chr(10)", "chr(27)"
+#: What dirty() makes of each document, and its later copies in a session that are long enough to be told by reference.
+DIRTY = f"""WITH l AS (SELECT coalesce(source, 'none') AS session_id, doc_id AS seg_index, {ESC} || '[31m' || coalesce(text, '') || {ESC} || '[0m  ' || {CR} || repeat({NL}, 4) || CASE WHEN doc_id % 3 = 0 THEN ' ' || repeat('QUJD', 200) || ' ' ELSE '' END AS raw FROM documents),
+c AS (SELECT *, strlen(raw) >= 1024 AND seg_index > min(seg_index) OVER (PARTITION BY session_id, raw) AS copy FROM l)"""
+
+
+@query("recode_chain", DIRTY + " SELECT seg_index, true AS never_longer, true AS original_kept, true AS clean, copy, CASE WHEN copy THEN md5(raw) END AS carried_md5, CASE WHEN copy THEN ceil(length(raw) / 3.5::DOUBLE)::BIGINT END AS saved FROM c")
 def recode_chain(spark, d):
+    """What must hold of every leaf, and which are copies: those carry their original whole."""
     out = passes.deterministic().run(dirty(spark, d))
-    lossy = F.col("recoded_by").isin("blob", "dedup", "head_tail", "diff", "markup")
-    return out.select("seg_index", (F.octet_length("content") <= F.octet_length("raw")).alias("never_longer"), (~lossy | F.col("carried").isNotNull()).alias("original_kept"), (~F.col("content").contains("\x1b")).alias("clean"))
+    lossy, copy = F.col("recoded_by").isin("blob", "dedup", "head_tail", "diff", "markup"), F.coalesce(F.col("recoded_by") == "dedup", F.lit(False))
+    return out.select(
+        "seg_index", (F.octet_length("content") <= F.octet_length("raw")).alias("never_longer"), (~lossy | F.col("carried").isNotNull()).alias("original_kept"), (~F.col("content").contains("\x1b")).alias("clean"),
+        copy.alias("copy"), F.when(copy, F.md5("carried")).alias("carried_md5"), F.when(copy, F.col("net_removed")).alias("saved"),
+    )
 
 
 @query("recode_rows")
@@ -44,10 +54,15 @@ def recode_rows(spark, d):
     return passes.deterministic().run(dirty(spark, d)).select("session_id", "seg_index", "recoded_by", "net_removed", F.md5("content").alias("content_md5"), F.md5("carried").alias("carried_md5"))
 
 
-@query("fast_lane", "SELECT doc_id AS seg_index, true AS shorter FROM documents WHERE strlen(coalesce(text, '')) <= 200000")
+@query(
+    "fast_lane",
+    DIRTY + f""", a AS (SELECT *, regexp_replace(raw, '\\x1b(?:\\[[^\\x40-\\x7e]*[\\x40-\\x7e]?|[^\\[])?|[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g') AS bare FROM c WHERE strlen(raw) <= 262144),
+w AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(bare, '[ \\t\\f\\v]+(\\n|$)', '\\1', 'g'), '^\\n{{2,}}', {NL}), '\\n{{3,}}', {NL} || {NL}, 'g') AS s FROM a)
+SELECT seg_index, md5(CASE WHEN ends_with(bare, {NL}) THEN s ELSE regexp_replace(s, '\\n+$', '') END) AS content_md5 FROM w""",
+)
 def fast_lane(spark, d):
-    small = dirty(spark, d).where(F.octet_length(F.regexp_replace("raw", r"\A\x1b\[31m|\x1b\[0m  \r\n\n\n\n( (QUJD)+ )?\z", "")) <= 200_000)
-    return passes.fast_lane(small).select("seg_index", (F.octet_length("content") < F.octet_length("raw")).alias("shorter"))
+    """What is left of each leaf on the path; leaves over the lane's size are not taken up."""
+    return passes.fast_lane(dirty(spark, d)).select("seg_index", F.md5("content").alias("content_md5"))
 
 
 CONTINUOUS_SQL = LADDER + """, n AS (SELECT *, 'sha256:' || sha256(rendered) AS ref_id, round(40.0::DOUBLE * (token_estimate - 40)::DOUBLE * base * r + quality - CASE WHEN cold THEN 0.0::DOUBLE ELSE suffix_tokens::DOUBLE * base * (w - r) * alive END, 9) AS npv FROM lad WHERE strategy IS NOT NULL),

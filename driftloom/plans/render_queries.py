@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import budget, render, segments
+from ..operators import render, segments
 from ..operators.segments import KEY
 from ..operators.summarizer import Extractive
-from ..sources import wire
 from .session_queries import SEG, read, segs
-from .state_queries import bodies
 from .text_queries import D, NL, docs
 
 QUERIES: dict = {}
@@ -73,12 +71,6 @@ def recent_text(spark, d):
     return render.recent_text(segs(spark, d))
 
 
-@query("tool_names", "SELECT doc_id AS session_id, coalesce(lang, 'x') AS tool, 't' || doc_id::VARCHAR AS tool_use_id FROM documents")
-def tool_names(spark, d):
-    m = wire.read_bodies(bodies(spark, d))
-    return render.tool_names(segments.segment_table(m), m).select(KEY, "tool", "tool_use_id")
-
-
 @query("block_json", f"""WITH {D} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{{"type":"tool_result","tool_use_id":"t","content":"c' || doc_id || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"is_error":true' ELSE '' END || '}}' WHEN 1 THEN '{{"type":"text","text":"c' || doc_id || '"}}' ELSE '[{{"type":"text","text":"c' || doc_id || '"}}]' END AS json FROM d""")
 def block_json(spark, d):
     slot = F.element_at(F.array(F.lit("tool_result"), F.lit("text_block"), F.lit("string_content")), (F.col("doc_id") % 3 + 1).cast("int"))
@@ -93,27 +85,17 @@ def merged_targets(spark, d):
     return render.merged(plan, lane).select(KEY, "message", "json")
 
 
-@query("lane_summary", f"WITH {D} SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS n_fresh, (9 * count(*))::BIGINT AS bytes_saved FROM d")
+@query(
+    "lane_summary",
+    f"""WITH {D}, t AS (SELECT doc_id, repeat(chr(27) || '[31m', doc_id % 4) || text || CASE WHEN doc_id % 5 = 0 THEN chr(7) || chr(27) || '[1;2' ELSE '' END AS dirty FROM d),
+c AS (SELECT doc_id, dirty, regexp_replace(dirty, '\\x1b(?:\\[[^\\x40-\\x7e]*[\\x40-\\x7e]?|[^\\[])?|[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g') AS clean FROM t)
+SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS n_fresh, sum(strlen(dirty) - strlen(clean))::BIGINT AS bytes_saved FROM c WHERE strlen(clean) < strlen(dirty)""",
+)
 def lane_summary(spark, d):
-    dirty = F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("\x1b[0m"))
-    return render.lane_summary(docs(spark, d).select((F.col("doc_id") % 2 == 0).alias("fresh"), X.byte_length(dirty).alias("before"), X.byte_length(X.strip_ansi(dirty)).alias("after")))
-
-
-@query("reasoning_shed", "SELECT doc_id AS session_id, 3::INT AS seg_index, false AS eligible FROM documents")
-def reasoning_shed(spark, d):
-    """The bodies have one assistant turn with reasoning, and it is the latest: never eligible."""
-    m = wire.read_bodies(bodies(spark, d))
-    s = render.reasoning_shed(segments.segment_table(m), m).where("kind = 'assistant_turn'")
-    return s.select(KEY, F.col("seg_index").cast("int").alias("seg_index"), F.col("shed").isNotNull().alias("eligible"))
-
-
-@query("fallback_rungs", "SELECT doc_id AS session_id, 2::INT AS rung, 2::INT AS seg_index FROM documents WHERE strlen(coalesce(text, '')) > 4000")
-def fallback_rungs(spark, d):
-    b = bodies(spark, d)
-    m = wire.read_bodies(b)
-    s = render.reasoning_shed(segments.with_salience(segments.segment_table(m)), m)
-    long = b.where(X.byte_length(F.col("text")) > 4000).select(KEY)
-    return budget.drop_ladder(s, F.lit(256)).where("rung = 2").join(long, KEY, "left_semi").select(KEY, "rung", F.col("seg_index").cast("int").alias("seg_index"))
+    k = F.col("doc_id")
+    dirty = F.concat(F.repeat(F.lit("\x1b[31m"), (k % 4).cast("int")), F.col("text"), F.when(k % 5 == 0, F.lit("\x07\x1b[1;2")).otherwise(""))
+    lane = docs(spark, d).select((k % 2 == 0).alias("fresh"), X.byte_length(dirty).alias("before"), X.byte_length(X.strip_ansi(dirty)).alias("after"))
+    return render.lane_summary(lane.where("after < before"))
 
 
 @query("shadow_kill", "SELECT DISTINCT conv_id AS session_id, CASE WHEN conv_id % 2 = 0 OR conv_id % 3 = 0 THEN 'old' ELSE 'new' END AS body FROM conversations")

@@ -8,9 +8,8 @@ from ..functions import economics as E
 from ..functions import text as X
 from ..operators import segments, summary
 from ..operators.segments import KEY, by_session
-from ..scratch import shared_folder
 from ..sources import events as sse
-from ..sources import refs, settings, wire
+from ..sources import refs, settings
 from ..streaming import session_state
 from .session_queries import read
 
@@ -72,9 +71,7 @@ def cache_warmth(spark, d):
 
 @query("token_scale_ewma", f"WITH {FOLDS} SELECT session_id, round(scale, 9) AS scale FROM fold")
 def token_scale_ewma(spark, d):
-    pair = F.struct("at", "seq", (F.col("read") + F.col("creation") + F.col("input")).cast("double").alias("observed"), F.col("estimated").cast("double").alias("estimated"))
-    g = observations(spark, d).groupBy(KEY).agg(F.array_sort(F.collect_list(pair)).alias("o"))
-    return g.select(KEY, F.round(E.fold_scale(F.col("o")), 9).alias("scale"))
+    return session_state.batch_states(observations(spark, d)).select(KEY, F.round("scale", 9).alias("scale"))
 
 
 @query("remaining_turns", f"WITH {FOLDS} SELECT session_id, turn, round(remaining, 6) AS remaining FROM fold")
@@ -112,7 +109,7 @@ def session_states(spark, d):
 def stream_session_state(spark, d):
     path = f"{d}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if not path_is_file(spark, path) else d + "/events.parque[t]")
-    return rounded(session_state.run_stream(spark, as_observations(stream), shared_folder(spark)))
+    return rounded(session_state.run_stream(spark, as_observations(stream)))
 
 
 def path_is_file(spark, path: str) -> bool:
@@ -185,62 +182,6 @@ def ref_gc(spark, d):
     return refs.collect_garbage(s, reachable, now=5000.0, most=500_000, order=("last_access_at", "ref_id", "source_uuid")).select("source_uuid", "ref_id", "byte_len")
 
 
-def bodies(spark, d):
-    """A request for each document: a question, a tool use answered by the document, an answer, and a
-    last question."""
-    t = F.coalesce("text", F.lit(""))
-    use = F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("id"), F.coalesce("lang", F.lit("x")).alias("name"), F.struct(F.lit(1).alias("q")).alias("input"))
-    result = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("tool_use_id"), t.alias("content"))
-    message = lambda role, content: F.to_json(F.struct(F.lit(role).alias("role"), content.alias("content")))
-    answer = F.array(F.struct(F.lit("thinking").alias("type"), F.lit("hm").alias("thinking")), F.struct(F.lit("text").alias("type"), F.lit("so it is").alias("thinking")))
-    parts = [message("user", F.lit("what is it?")), message("assistant", F.array(use)), message("user", F.array(result)), message("assistant", answer), message("user", F.lit("and now?"))]
-    body = F.concat(F.lit('{"model":"model-large", "max_tokens": 4000, "system":"be brief", "zeta":1.10, "messages":['), F.concat_ws(", ", *parts), F.lit("]}"))
-    return read(spark, d, "documents").select(F.col("doc_id").cast("long").alias(KEY), body.alias("body"), t.alias("text"))
-
-
-@query("tool_pairs", "SELECT doc_id AS session_id, u.* FROM documents, (VALUES (0, 'system', 0), (1, 'user_turn', 1), (2, 'tool_pair', 1), (3, 'assistant_turn', 1), (4, 'user_turn', 2)) u(seg_index, kind, generation)")
-def tool_pairs(spark, d):
-    s = segments.segment_table(wire.read_bodies(bodies(spark, d)))
-    return s.select(KEY, F.col("seg_index").cast("int").alias("seg_index"), "kind", F.col("generation").cast("int").alias("generation"))
-
-
-@query("block_classes", "SELECT u.kind, (SELECT count(*) FROM documents) AS n FROM (VALUES ('tool_use'), ('tool_result'), ('thinking'), ('text')) u(kind)")
-def block_classes(spark, d):
-    m = wire.read_bodies(bodies(spark, d)).select(F.explode("blocks").alias("b"))
-    return m.groupBy("b.kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("squash_targets", "SELECT doc_id AS session_id, 2::INT AS seg_index, 2::INT AS msg_index, ceil(length(coalesce(text, '')) / 3.5::DOUBLE)::BIGINT AS original_tokens, 'tool_result' AS slot FROM documents WHERE strlen(coalesce(text, '')) > 256")
-def squash_targets(spark, d):
-    b = bodies(spark, d)
-    m = wire.read_bodies(b)
-    found = wire.replaceable_blocks(segments.segment_table(m), m)
-    long = b.where(X.byte_length(F.col("text")) > 256).select(KEY)
-    return found.join(long, KEY, "left_semi").select(KEY, F.col("seg_index").cast("int").alias("seg_index"), F.col("msg_index").cast("int").alias("msg_index"), "original_tokens", "slot")
-
-
-def rewritten(spark, d):
-    """Every tool result replaced by the marker of its stored original."""
-    b = bodies(spark, d)
-    t = F.col("text")
-    mark = X.placeholder(X.content_address(t), X.token_estimate(t), X.byte_length(t), F.lit("one document"))
-    block = F.to_json(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), F.col(KEY).cast("string")).alias("tool_use_id"), mark.alias("content")))
-    target = F.array(F.struct(F.lit(2).alias("message"), F.lit(0).alias("block"), block.alias("json")))
-    return b.select(KEY, "text", "body", wire.rewrite_udf("body", target, F.array(F.lit(2))).alias("r"))
-
-
-@query("gate_checks", "SELECT doc_id AS session_id, strlen(coalesce(text, '')) > 1000 AS longer, CASE WHEN strlen(coalesce(text, '')) > 1000 THEN NULL ELSE 'any' END AS error FROM documents WHERE strlen(coalesce(text, '')) > 1000")
-def gate_checks(spark, d):
-    return rewritten(spark, d).where(X.byte_length(F.col("text")) > 1000).select(KEY, F.lit(True).alias("longer"), F.col("r.error").alias("error"))
-
-
-@query("splice", "SELECT doc_id AS session_id, true AS smaller, true AS kept_number, true AS has_marker, 1::BIGINT AS hints, 0::INT AS suppressed FROM documents WHERE strlen(coalesce(text, '')) > 1000")
-def splice(spark, d):
-    out = rewritten(spark, d).where(X.byte_length(F.col("text")) > 1000)
-    new = F.col("r.body")
-    return out.select(KEY, (F.octet_length(new) < F.octet_length("body")).alias("smaller"), new.contains('"zeta":1.10').alias("kept_number"), new.contains("stored segment | ref=").alias("has_marker"), F.regexp_count(new, F.lit('"cache_control"')).cast("long").alias("hints"), F.col("r.suppressed").alias("suppressed"))
-
-
 def chats(spark, d):
     return segments.session_messages(read(spark, d, "conversations"))
 

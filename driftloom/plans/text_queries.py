@@ -263,7 +263,12 @@ def bm25_default(spark, d):
     return s.select("doc_id", F.md5(F.array_join(F.slice("passages", 1, 5), "\n")).alias("found_md5"))
 
 
-@query("search_within")
+@query(
+    "search_within",
+    BM25.replace("/ av))), 6) AS score", "/ av))), 9) AS score") + f""", top AS (SELECT doc_id, idx FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) <= 5),
+f AS (SELECT doc_id, string_agg(passage, {NL} ORDER BY idx) AS found FROM top JOIN u USING (doc_id, idx) GROUP BY doc_id)
+SELECT doc_id, coalesce(found, array_to_string(ps[1:5], {NL})) AS found FROM p LEFT JOIN f USING (doc_id)""",
+)
 def search_within(spark, d):
     return search.search_within(asked(spark, d)).select("doc_id", "found")
 

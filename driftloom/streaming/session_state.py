@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.economics import SCALE_FRESH, TURN_FRESH, TURN_SEED
+from ..scratch import scratch_path
 
 WARM_TURNS, COOLDOWN_S, OVERRUN = 2, 60.0, 4
 OBSERVATION = "session_id long, seq long, at double, creation long, read long, input long, estimated long, predicted long, messages long"
@@ -108,10 +109,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def run_stream(spark: SparkSession, observations: DataFrame, folder: str) -> DataFrame:
+def run_stream(spark: SparkSession, observations: DataFrame, folder: str | None = None) -> DataFrame:
     """Run a stream of observations over what is there now, and return the last state of each session.
     folder: shared by driver and executors; holds the stream's checkpoint and its output."""
-    own = f"{folder}/sessions-{uuid.uuid4().hex}"
+    own = f"{folder}/sessions-{uuid.uuid4().hex}" if folder else scratch_path(spark, "sessions")
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS)
     try:

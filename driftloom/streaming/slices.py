@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import scratch_path
 from .session_state import PROVIDER, ROCKS
 
 
-def run_in_slices(spark: SparkSession, slices: list[DataFrame], build: Callable[[DataFrame], DataFrame], schema: str, folder: str, mode: str = "update") -> tuple[DataFrame, str]:
+def run_in_slices(spark: SparkSession, slices: list[DataFrame], build: Callable[[DataFrame], DataFrame], schema: str, mode: str = "update") -> tuple[DataFrame, str]:
     """(all rows that the stream gave, with the number of their micro-batch; where its checkpoint lies).
 
     Each slice is appended to the input folder, and the stream is started again from its checkpoint and
     reads what is new, so state outlives restarts. A micro-batch that is run again replaces what it wrote.
-    folder: shared by driver and executors.
+    All lies in the shared folder.
     """
-    own = f"{folder}/slices-{uuid.uuid4().hex}"
+    own = scratch_path(spark, "slices")
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS)
     try:
