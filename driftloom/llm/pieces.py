@@ -209,6 +209,7 @@ class PieceModel:
         self.strips_all = spec.normalizer_spec.remove_extra_whitespaces
         self.end = spec.trainer_spec.eos_id
         self.part = re.compile(self.parts([p for p in self.rank]), re.DOTALL)
+        self._pairs()
 
     def parts(self, long: list[str]) -> str:
         """A pattern of what is merged by itself: no piece reaches over a space mark that is not at its
@@ -218,6 +219,73 @@ class PieceModel:
         joined = "".join(map(re.escape, sorted(set("".join(long)) - {META})))
         return f"{META}+[{joined}]*|[{joined}]+|." if joined else f"{META}+|."
 
+    def _pairs(self) -> None:
+        """Numbers for pieces and for the characters of pieces, and the sorted pairs that make a piece, each
+        with its rank and what it makes."""
+        chars = sorted(set("".join(self.rank)) | {p for p in self.id_of if len(p) == 1})
+        number = {c: k for k, c in enumerate(chars)} | {p: len(chars) + k for k, p in enumerate(self.rank)}
+        self.points = np.array([ord(c) for c in chars], np.uint32)
+        self.id_of_number = np.array([self.id_of.get(p, -1) for p in number], np.int64)
+        self.width = len(number) + 1  # the last stands for a character of no piece
+        made = [(number[p[:k]] * self.width + number[p[k:]], r, number[p]) for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        self.keys, ranks, merged = (np.array(c, np.int64) for c in zip(*sorted(made), strict=True)) if made else (np.zeros(1, np.int64) - 1,) * 3
+        self.pair_rank, self.pair_made = ranks.astype(np.int32), merged.astype(np.int32)
+        self.names = list(map(str, range(len(self.size))))
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair in keys, or -1."""
+        key = left.astype(np.int64) * self.width + right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, at, -1)
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words in one array, and where each word's begin (with the end last).
+
+        In a round every word merges one pair: of its best pairs the leftmost. Words without a pair leave the array."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        at = np.searchsorted(self.points, points)
+        at[at == len(self.points)] = 0
+        sym = np.where(self.points[at] == points, at, self.width - 1).astype(np.int32)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+
+        def looked_up(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found = self.find(sym[i], sym[i + 1])
+            return np.where(found >= 0, self.pair_rank[found], NEVER).astype(np.int32), found.astype(np.int32)
+
+        rank, pair = np.full(len(sym), NEVER, np.int32), np.full(len(sym), -1, np.int32)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner], pair[inner] = looked_up(inner)
+        out_sym, out_word = [], []
+        while len(sym):
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            length = np.diff(np.append(first, len(sym)))
+            low = np.minimum.reduceat(rank, first)
+            if (low == NEVER).any():
+                live = np.repeat(low != NEVER, length)
+                out_sym.append(sym[~live])
+                out_word.append(word[~live])
+                sym, word, rank, pair = sym[live], word[live], rank[live], pair[live]
+                length, low = length[low != NEVER], low[low != NEVER]
+                if not len(sym):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(low, length))
+            hit = hit[np.concatenate(([True], word[hit][1:] != word[hit][:-1]))]
+            sym[hit] = self.pair_made[pair[hit]]
+            stays = np.ones(len(sym), bool)
+            stays[hit + 1] = False
+            at = hit - np.arange(len(hit))
+            sym, word, rank, pair = sym[stays], word[stays], rank[stays], pair[stays]
+            for i in (at, at[at > 0] - 1):
+                rank[i], pair[i] = NEVER, -1
+                i = i[i + 1 < len(sym)]
+                i = i[word[i] == word[i + 1]]
+                rank[i], pair[i] = looked_up(i)
+        sym, word = np.concatenate([*out_sym, sym]), np.concatenate([*out_word, word])
+        order = np.argsort(word, kind="stable")
+        return sym[order], np.searchsorted(word[order], np.arange(len(words) + 1))
+
     def pieces(self, word: str) -> list[str]:
         """Merge neighbours, the pair of the best score first and of equal ones the leftmost, until none fits."""
         if len(word) > SHORT:
@@ -255,14 +323,26 @@ class PieceModel:
         return [x for x in known if x]
 
     def codes(self, words: list[str]) -> list[tuple[tuple[int, ...], str]]:
-        """The ids of each word, and the same in decimal joined by spaces."""
-        out = []
-        for word in words:
-            ids: list[int] = []
-            for piece in self.pieces(word):
-                known = self.id_of.get(piece)
-                ids += [known] if known is not None else map(self.byte_ids.__getitem__, piece.encode())
-            out.append((tuple(ids), " ".join(map(str, ids))))
+        """The ids of each word, and the same in decimal joined by spaces. Short words are merged together in rounds,
+        long ones, and those with a character that is no piece, one by one."""
+        out: list = [None] * len(words)
+        short = [k for k, w in enumerate(words) if 0 < len(w) <= SHORT]
+        if short:
+            sym, cut = self.merge([words[k] for k in short])
+            ids = np.append(self.id_of_number, -1)[sym]
+            whole = np.minimum.reduceat(ids, cut[:-1]) >= 0
+            flat, cut = ids.tolist(), cut.tolist()
+            for k, a, b, good in zip(short, cut, cut[1:], whole.tolist(), strict=False):
+                if good:
+                    own = flat[a:b]
+                    out[k] = tuple(own), " ".join([self.names[i] for i in own])
+        for k, word in enumerate(words):
+            if out[k] is None:
+                own = []
+                for piece in self.pieces(word):
+                    known = self.id_of.get(piece)
+                    own += [known] if known is not None else map(self.byte_ids.__getitem__, piece.encode())
+                out[k] = tuple(own), " ".join(map(str, own))
         return out
 
     def spans(self, ids: np.ndarray, source: np.ndarray) -> np.ndarray:

@@ -71,6 +71,16 @@ def test_long_words_merge_alike_through_the_heap():
         assert model.pieces(word) == model.pieces_of_long(word)
 
 
+def test_words_merged_together_equal_words_merged_alone():
+    model = pieces.load(MODEL)
+    rng = random.Random(4)
+    words = ["".join(rng.choices(["▁", "▁", "a", "b", "e", "in", "rst", "é", "漢", "\n", "字", "ing", ".", "😀"], k=rng.randint(1, 20))) for _ in range(3_000)]
+    for word, (ids, text) in zip(words, model.codes(words), strict=True):
+        want = [i for p in model.pieces(word) for i in ([model.id_of[p]] if p in model.id_of else [model.byte_ids[b] for b in p.encode()])]
+        assert list(ids) == want and text == " ".join(map(str, want))
+    assert model.codes([]) == [] and model.codes(["漢"]) == [((233, 191, 165), "233 191 165")]
+
+
 def test_models_of_other_kinds_are_errors(tmp_path):
     spec = sentencepiece_model_pb2.ModelProto()
     with open(MODEL, "rb") as f:
