@@ -335,7 +335,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # a run without an equal is open; of equal ones the first stands for all
     unsure = mixed.join(written(kinds, "kinds"), ["ah", "rh"]).select("i", "th", F.struct("lo", "hi", F.when(F.col("place") == F.col("first"), F.col("ah")).alias("ah"), (F.col("n") == 1).alias("open")).alias("run"))
     sure = again.where("not mixed").select("i", "th", F.struct("lo", "hi", F.lit(None).cast("long").alias("ah"), F.lit(False).alias("open")).alias("run"))
-    lists = unsure.union(sure).groupBy("i", "th").agg(F.collect_list("run").alias("runs"))
+    # sets, combined before the shuffle: rows that repeat an id and a text have equal runs, and gather no more than one
+    lists = unsure.union(sure).groupBy("i", "th").agg(F.collect_set("run").alias("runs"))
     lists = lists.select(F.col("i").alias("_i"), F.col("th").alias("_th"), "runs")
     joined = rows.join(lists, F.col("i").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_th")), "left").select("i", "th", "text", "runs")
     first = written(judged(joined, length, with_kept), "judged")
@@ -345,7 +346,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = family_windows(pieces, length)
     else:
         found = family_windows(pieces.join(hot, "ah", "left_anti"), length).union(settled_blocks(pieces.join(hot, "ah", "left_semi").select(*pieces.columns), length))
-    found = found.groupBy(F.col("i").alias("_i"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("a", "b")).alias("more"))
+    found = found.groupBy(F.col("i").alias("_i"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("a", "b")).alias("more"))
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
     back = F.col("i").cast(kind).alias(id_col)
     done = first.where("text is null").select(back, *names)

@@ -290,6 +290,16 @@ def test_suffix_dedup_brute_force(spark):
     assert results(suffix_dedup.remove_repeats(df, length=60)) == removed(texts, 60)
 
 
+def test_suffix_dedup_of_a_row_that_repeats(spark):
+    """Rows that repeat an id and a text share one list of runs, however many there are."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = word(400)
+    rows = [(1, word(90) + passage + word(300))] * 40 + [(None, passage + word(200))] * 40 + [(2, passage[:250] + word(150)), (3, word(500)), (None, word(120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert results(suffix_dedup.remove_repeats(df, length=100)) == removed([t for _, t in rows], 100)
+
+
 def test_suffix_dedup_hot_anchor(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 5)
     rng = random.Random(4)
