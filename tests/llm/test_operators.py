@@ -627,6 +627,32 @@ LICENSE_CASES = {
     "GNU General Public License": [("gpl", 60)],
     "Apache License, version 7.3": [("apache", 60)],
     "nothing of the kind, mit freundlichen Grüßen": [],
+    "This is released under MIT.": [("mit", 86)],
+    "License: MIT": [("mit", 90)],
+    'license = "MIT OR Apache-2.0"': [("mit", 90), ("apache-2.0", 90)],
+    '"license": "BSD-3-Clause",': [("bsd-3-clause", 90)],
+    "licensed under the MIT.": [("mit", 86)],
+    "under the Apache 2.0 license": [("apache-2.0", 66)],
+    "Apache-2.0 license": [("apache-2.0", 58)],
+    "an MIT-licensed tool": [("mit", 58)],
+    "Dual licensed MIT/Apache-2.0": [("mit", 82), ("apache-2.0", 82)],
+    "(MIT/Apache-2.0)": [("mit", 57), ("apache-2.0", 57)],
+    "it is in the public domain": [("public-domain", 55)],
+    "https://www.apache.org/licenses/LICENSE-2.0": [("apache-2.0", 99)],
+    "https://creativecommons.org/licenses/by-nc/4.0/": [("cc-by-nc-4.0", 99)],
+    "http://www.boost.org/LICENSE_1_0.txt": [("bsl-1.0", 99)],
+    "https://www.gnu.org/licenses/gpl-3.0.html": [("gpl-3.0", 99)],
+    "https://www.gnu.org/licenses/gpl.html": [("gpl", 98)],
+    "SPDX-License-Identifier: see LICENSE file": [],
+    "SPDX-License-Identifier: NONE": [],
+    "SPDX-License-Identifier: LicenseRef-Own": [],
+    "SPDX-License-Identifier: MIT AND Own-Terms": [("mit", 100)],
+    "License: see the file, or ask": [],
+    "published under great difficulties, released under elastic rules": [],
+    "a licensed driver, under the weather": [],
+    "mit license/bsd": [("mit", 60)],
+    "and/or, input/output, his/her": [],
+    "use of this source code is governed by a BSD-style license": [("bsd", 97)],
 }
 
 
@@ -653,7 +679,24 @@ def test_the_filter_hides_no_rule():
     for _ in range(150):
         low = " ".join(rng.choices(parts, k=rng.randint(1, 5))).lower().encode()
         every = [license_scan.Detection(m.start(), m.end(), r.label, r.priority, r.base) for r in rules for m in r.pattern.finditer(low)]
-        assert license_scan.scanner().scan(low)[1] == license_scan.suppressed(every + license_scan.spdx(low))
+        assert license_scan.scanner().scan(low)[1] == license_scan.suppressed(every + license_scan.notices(low))
+
+
+def test_labels_and_score_of_a_text(spark):
+    """labels are the base ones and those left by suppression; the score is the best of those."""
+    rows = ["License: MIT\nall rights reserved, cc by", "SPDX-License-Identifier: none", "released under GPLv3, see https://www.gnu.org/licenses/gpl-3.0.html", "cc by 4.0", None, "under the General Public License"]
+    got = [(r["base_labels"], r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert got == [("cc-by,reserved", "cc-by,mit,reserved", 0.9), ("", "", 0.0), ("", "gpl-3.0", 0.99), ("cc-by", "cc-by,cc-by-4.0", 0.61), ("", "", 0.0), ("gpl", "gpl", 0.5)]
+
+
+def test_labels_are_known():
+    """No label outside of the list, whatever stands after a tag or in a notice."""
+    allowed = license_scan.KNOWN | set(license_scan.PHRASES.values()) | {label for label, _ in license_scan.SENTENCES}
+    rng = random.Random(21)
+    words = ["spdx-license-identifier:", "license:", "under", "licensed", "the", "mit", "apache", "2.0", "v3", "gplv2", "or", "/", "with", "none", "see", "license", "file", "unknown-1.0", "(", ")", "elastic", "bsd-9-clause", ",", "public domain"]
+    for _ in range(600):
+        low = " ".join(rng.choices(words, k=rng.randint(1, 12))).encode()
+        assert {d.label for d in license_scan.scanner().scan(low)[1]} <= allowed
 
 
 def test_suppression():
