@@ -145,7 +145,7 @@ f AS (SELECT *, total - coalesce(sum(shed) FILTER (first) OVER (PARTITION BY doc
 h AS (SELECT *, pair AND rest1 - coalesce(sum(tokens) FILTER (pair) OVER (PARTITION BY doc_id ORDER BY seg_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 256 AS second FROM f),
 i AS (SELECT *, rest1 - coalesce(sum(tokens) FILTER (second) OVER (PARTITION BY doc_id), 0) AS rest2, NOT second AND kind <> 'system' AND NOT is_current AS old FROM h),
 l AS (SELECT *, old AND rest2 - coalesce(sum(tokens) FILTER (old) OVER (PARTITION BY doc_id ORDER BY seg_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 256 AS third FROM i)
-SELECT doc_id AS session_id, 1 AS rung, seg_index::INT AS seg_index, shed AS tokens FROM l WHERE first UNION ALL SELECT doc_id, 2, seg_index, tokens FROM l WHERE second UNION ALL SELECT doc_id, 3, seg_index, tokens FROM l WHERE third""",
+SELECT doc_id AS session_id, 1 AS rung, seg_index::INT AS seg_index, shed AS tokens FROM l WHERE first UNION ALL SELECT doc_id, 2, seg_index::INT, tokens FROM l WHERE second UNION ALL SELECT doc_id, 3, seg_index::INT, tokens FROM l WHERE third""",
 )
 def fallback_rungs(spark, d):
     m = wire.read_bodies(bodies(spark, d))
