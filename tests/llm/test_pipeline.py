@@ -1,5 +1,6 @@
 """The corpus pipeline, stage by stage against brute force."""
 
+import hashlib
 from collections import Counter
 
 from harness import DATA
@@ -37,28 +38,54 @@ def test_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(best.values())
 
     before, after = held["simhash near-dedup"]
-    texts = {r["doc_id"]: shingles(r["text"]) for r in before.collect()}
-    kept = {r["doc_id"] for r in after.collect()}
-    owners = {}
-    for i, s in texts.items():
-        for x in s:
-            owners.setdefault(x, []).append(i)
-    common = Counter((a, b) for own in owners.values() if len(own) < 50 for a in own for b in own if a < b)
-    near = {pair: n / len(texts[pair[0]] | texts[pair[1]]) for pair, n in common.items()}
-    assert sum(a in kept and b in kept for (a, b), j in near.items() if j >= 0.8) == 0
-    alone = set(texts) - {i for pair, j in near.items() if j >= 0.4 for i in pair}
-    assert alone <= kept
+    sets = {}
+    for r in before.collect():
+        sets.setdefault(shingles(r["text"]), []).append(r["doc_id"])
+    kinds = list(sets)
+    part = list(range(len(kinds)))
+
+    def root(k):
+        while part[k] != k:
+            part[k] = k = part[part[k]]
+        return k
+
+    for i, a in enumerate(kinds):  # every two different sets, whatever they share
+        for j in range(i):
+            b = kinds[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                part[root(i)] = root(j)
+    groups = {}
+    for k, kind in enumerate(kinds):
+        groups.setdefault(root(k), []).extend(sets[kind])
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(map(min, groups.values()))
+    assert max(map(len, groups.values())) > 1
 
     before, after = held["mixing"]
+    size = {r["doc_id"]: (r["source"], len((r["text"] or "").encode().split())) for r in before.collect()}
+    sources = sorted({s for s, _ in size.values()}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(n for x, n in size.values() if x == s) for s in sources}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
+    open_, target, left = set(sources), {}, 1.5 * sum(own.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * own[s]}
+        for s in full or open_:
+            target[s] = 2 * own[s] if full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        open_ -= full or open_
     copies = Counter(r["doc_id"] for r in after.collect())
-    assert set(copies) <= {r["doc_id"] for r in before.collect()} and max(copies.values()) <= 2
+    for i, (s, _) in size.items():
+        rate = target[s] / own[s] if own[s] else 0
+        coin = int(hashlib.sha256(str(i).encode()).hexdigest()[:8], 16) / 2**32
+        assert copies[i] == int(rate) + (coin < rate - int(rate)), i
+    assert set(copies) <= set(size)
 
     before, after = held["bpe encoding"]
     lib = Tokenizer.from_file(queries.vocabulary())
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
     rows = after.collect()
     assert len(rows) == before.count()
-    for r in rows[::7]:
+    for r in rows:
         assert r["ids"] == lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids
 
 
