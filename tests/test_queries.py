@@ -53,5 +53,13 @@ def test_entry_without_llm(tmp_path):
     root = Path(__file__).resolve().parent.parent
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     shutil.copytree(root / "driftloom", tmp_path / "driftloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'squash_plan' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}, check=True)
+    shutil.copy(root / "bench.py", tmp_path)
+    shutil.copytree(root / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e, bench; q = e.queries(); assert 'squash_plan' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q) and len(q) > 100"
+    env = {"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+    # its tests are found, and some that need no session pass
+    found = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_session_log.py", "tests/test_decisions.py", "-k", "not spark and (lane or plan or waits or states)"], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert found.returncode == 0 and "passed" in found.stdout, found.stdout
+    listed = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "--collect-only", "tests"], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert listed.returncode == 0, listed.stdout
