@@ -6,6 +6,8 @@ windows of one plan share a single shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ def session_messages(conversations: DataFrame) -> DataFrame:
     )
 
 
-def segment_table(messages: DataFrame) -> DataFrame:
-    """One row for each segment of a session.
+def segment_table(messages: DataFrame, estimate: Callable[[Column], Column] = token_estimate) -> DataFrame:
+    """One row for each segment of a session. estimate: the tokens of a text, as a column function.
 
     messages: session_id, msg_index, role, content_kind, rendered, raw_len, use_ids, result_ids. An
     assistant message whose tool uses are answered by the next user message makes one tool_pair with
@@ -69,7 +71,7 @@ def segment_table(messages: DataFrame) -> DataFrame:
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     after = w.rowsBetween(1, Window.unboundedFollowing)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    m = m.withColumn("token_estimate", token_estimate(F.col("rendered")))
+    m = m.withColumn("token_estimate", estimate(F.col("rendered")))
     m = m.withColumns(
         {
             "seg_index": (F.row_number().over(w) - 1).cast("long"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import budget, render, segments
+from ..operators import budget, relay, render, segments
 from ..operators.segments import KEY
 from ..sources import wire
 from .session_queries import read
@@ -27,7 +27,7 @@ def query(name: str, sql: str):
     return add
 
 
-MOST = 4
+EXCHANGES = 4
 SIZES = (3, 1, 1, 1, 1, 2, 1)  # messages of each kind of exchange
 THOUGHT, SAID = '{"type":"thinking","thinking":"hm, let me see"}', '{"type":"text","text":"so it is"}'
 SERVER = ('{"type":"server_tool_use","id":"s1","name":"web","input":{}}', '{"type":"web_search_tool_result","tool_use_id":"s1","content":[]}', '{"type":"text","text":"found"}')
@@ -44,7 +44,7 @@ def bodies(spark, d):
     """session_id, body, text, and the kind of each exchange (null beyond the last)."""
     doc = F.col("doc_id").cast("long")
     t, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("x"))
-    kinds = [F.when(F.lit(k) <= doc % MOST, (doc + 3 * k) % 7) for k in range(MOST)]
+    kinds = [F.when(F.lit(k) <= doc % EXCHANGES, (doc + 3 * k) % 7) for k in range(EXCHANGES)]
 
     def use(k, i):
         return F.concat(F.lit('{"type":"tool_use","id":"t'), doc.cast("string"), F.lit(f'_{k}{i}","name":'), quoted(lang), F.lit(',"input":{"q":1}}'))
@@ -74,13 +74,13 @@ def bodies(spark, d):
         return out
 
     end = F.array(F.when(doc % 5 == 0, message("assistant", use(99, "z"))).otherwise(typed("user", F.lit('"and now?"'))))
-    messages = F.flatten(F.array(*map(exchange, range(MOST)), end))
+    messages = F.flatten(F.array(*map(exchange, range(EXCHANGES)), end))
     body = F.concat(F.lit(HEAD), F.array_join(messages, ", "), F.lit("]}"))
     return read(spark, d, "documents").select(doc.alias(KEY), body.alias("body"), t.alias("text"), F.array(*kinds).alias("kinds"))
 
 
 BODY = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, 'x') AS lang FROM documents),
-x AS (SELECT *, (doc_id + 3 * k) % 7 AS c FROM (SELECT *, unnest(range(0, doc_id % {MOST} + 1)) AS k FROM d)),
+x AS (SELECT *, (doc_id + 3 * k) % 7 AS c FROM (SELECT *, unnest(range(0, doc_id % {EXCHANGES} + 1)) AS k FROM d)),
 y AS (SELECT doc_id, t, lang, k, c, j FROM x JOIN (VALUES (0, 0), (0, 1), (0, 2), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (5, 1), (6, 0)) v(c, j) USING (c)
   UNION ALL SELECT doc_id, t, lang, 99, CASE WHEN doc_id % 5 = 0 THEN 7 ELSE 8 END, 0 FROM d),
 z AS (SELECT *, '{{"type":"tool_use","id":"t' || doc_id || '_' || k AS use, '{{"type":"tool_result","tool_use_id":"t' || doc_id || '_' || k AS res, '","name":' || to_json(lang)::VARCHAR || ',"input":{{"q":1}}}}' AS rest FROM y),
@@ -159,8 +159,8 @@ def rewritten(spark, d):
     b = bodies(spark, d)
     t, doc = F.col("text"), F.col(KEY)
     sizes = F.array(*map(F.lit, SIZES))
-    before = [sum((F.when(F.col("kinds")[q].isNotNull(), F.get(sizes, F.col("kinds")[q].cast("int"))).otherwise(0) for q in range(k)), F.lit(0)) for k in range(MOST)]
-    first = lambda c, plus: F.coalesce(*[F.when(F.col("kinds")[k] == c, F.struct(F.lit(k).alias("k"), (before[k] + plus).cast("int").alias("at"))) for k in range(MOST)])
+    before = [sum((F.when(F.col("kinds")[q].isNotNull(), F.get(sizes, F.col("kinds")[q].cast("int"))).otherwise(0) for q in range(k)), F.lit(0)) for k in range(EXCHANGES)]
+    first = lambda c, plus: F.coalesce(*[F.when(F.col("kinds")[k] == c, F.struct(F.lit(k).alias("k"), (before[k] + plus).cast("int").alias("at"))) for k in range(EXCHANGES)])
     answer, thought, way = first(0, 2), first(1, 0), doc % 6
     mark = X.placeholder(X.content_address(t), X.token_estimate(t), X.byte_length(t), F.lit("one document"))
     own = F.concat(F.lit("t"), doc.cast("string"), F.lit("_"), answer["k"].cast("string"), F.when(way == 2, "q").otherwise("a"))
@@ -172,7 +172,7 @@ def rewritten(spark, d):
     cut = F.array(F.struct(thought["at"].alias("message"), F.lit(0).alias("block"), F.lit('{"type":"thinking","thinking":"hm"}').alias("json")))
     target = F.when(answer.isNotNull(), F.array(F.struct(answer["at"].alias("message"), block.alias("block"), json.alias("json")))).when(thought.isNotNull(), cut).otherwise(none)
     at = F.when(answer.isNotNull() & (way == 0), F.array(answer["at"])).otherwise(F.expr("cast(array() as array<int>)"))
-    return b.select(KEY, wire.rewrite_udf("body", target, at).alias("r"))
+    return b.select(KEY, "body", wire.rewrite_udf("body", target, at).alias("r"))
 
 
 GATE = BODY + """, marks AS (SELECT doc_id, 'sha256:' || sha256(t) AS ref, '[stored segment | ref=sha256:' || sha256(t) || ' | ~' || ceil(length(t) / 3.5::DOUBLE)::BIGINT || ' tokens | ' || strlen(t) || ' bytes]' || chr(10) || 'one document' || chr(10) || 'Full text: retrieve("sha256:' || sha256(t) || '")' AS mark FROM d),
@@ -198,3 +198,39 @@ FROM v JOIN m USING (doc_id) WHERE error IS NULL GROUP BY v.doc_id""",
 def splice(spark, d):
     """The rewritten bodies that pass the gate, to the byte."""
     return rewritten(spark, d).where("r.error is null").select(KEY, F.md5(F.col("r.body").cast("binary")).alias("body_md5"), F.col("r.suppressed").alias("suppressed"))
+
+
+MOST, PASSED = 9_000, 5_000  # sizes of this table's bodies, in place of megabytes
+RELAYED = GATE + f""", l AS (SELECT v.doc_id, min(error) AS error, {len(HEAD)} + sum(strlen(span)) + 2 * (count(*) - 1) + 2 AS old,
+  strlen('{{"max_tokens":4000,"messages":[' || string_agg(CASE WHEN m.k = ka AND m.c = 0 AND m.j = 2 THEN '{{"content":[' || block || '],"role":"user"}}'
+  WHEN ka IS NULL AND m.c = 1 THEN '{{"content":[{{"thinking":"hm","type":"thinking"}},{{"text":"so it is","type":"text"}}],"role":"assistant"}}' ELSE span END, ',') || '],"model":"model-large","system":"be brief","zeta":1.10}}') AS new
+  FROM v JOIN m USING (doc_id) GROUP BY v.doc_id),
+n AS (SELECT doc_id, old::BIGINT AS bytes_in, new, CASE WHEN old > {MOST} THEN 'refused' WHEN doc_id % 13 = 0 THEN 'killed' WHEN old > {PASSED} THEN 'passed' WHEN error IS NOT NULL THEN 'kept' WHEN doc_id % 7 = 2 THEN 'shadow' ELSE 'rewritten' END AS outcome FROM l),
+g AS (SELECT *, CASE outcome WHEN 'refused' THEN 0 WHEN 'rewritten' THEN new ELSE bytes_in END::BIGINT AS bytes_out FROM n)
+"""
+
+
+def relayed(spark, d):
+    r, doc = rewritten(spark, d), F.col(KEY)
+    new = F.when(F.col("r.error").isNull(), F.col("r.body"))
+    return relay.relayed(r, F.col("body"), new, doc % 13 == 0, doc % 7 == 2, MOST, PASSED)
+
+
+@query("relay_log", RELAYED + "SELECT doc_id AS session_id, CASE WHEN outcome = 'refused' THEN 502 ELSE 200 END AS status, outcome, bytes_in, bytes_out FROM g")
+def relay_log(spark, d):
+    """A row for each request: what was decided, and how much came in and went out."""
+    return relayed(spark, d).select(KEY, "status", "outcome", "bytes_in", "bytes_out")
+
+
+@query("relay_totals", RELAYED + "SELECT o.outcome, count(g.outcome) AS requests, coalesce(sum(bytes_in), 0)::BIGINT AS bytes_in, coalesce(sum(bytes_out), 0)::BIGINT AS bytes_out FROM (VALUES ('refused'), ('killed'), ('passed'), ('kept'), ('shadow'), ('rewritten')) o(outcome) LEFT JOIN g USING (outcome) GROUP BY o.outcome")
+def relay_totals(spark, d):
+    return relay.totals(relayed(spark, d))
+
+
+@query("segment_estimator", """WITH c AS (SELECT conv_id AS session_id, row_number() OVER w - 1 AS seg_index, ceil(strlen(coalesce(text, '')) / 4.0::DOUBLE)::BIGINT AS tokens FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT session_id, seg_index, tokens, (coalesce(sum(tokens) OVER (PARTITION BY session_id ORDER BY seg_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0))::BIGINT AS suffix FROM c""")
+def segment_estimator(spark, d):
+    """Segments with tokens by another estimator: a quarter of the bytes."""
+    m = segments.session_messages(read(spark, d, "conversations"))
+    s = segments.segment_table(m, lambda t: F.ceil(F.octet_length(t) / F.lit(4.0)).cast("long"))
+    return s.select(KEY, "seg_index", F.col("token_estimate").alias("tokens"), F.col("suffix_tokens").alias("suffix"))

@@ -115,3 +115,18 @@ def test_snapshot_is_observed_published_and_read_strictly(spark, tmp_path):
             status.snapshot(spark, path, fields)
     with pytest.raises(ValueError):
         status.publish(spark, path, {"schema_version": 3})
+
+
+def test_what_becomes_of_a_request(spark):
+    from driftloom.operators import relay
+
+    rows = [(1, "x" * 11, "new", False, False), (2, "x" * 5, "new", True, False), (3, "x" * 9, "new", False, False), (4, "x" * 5, None, False, True), (5, "xxxxx", "new", False, True), (6, "xxxxx", "é", False, False), (7, None, "new", None, None), (8, "x" * 11, "new", True, True), (9, "x" * 8, "n", None, None), (10, "x" * 10, "n", False, False)]
+    df = spark.createDataFrame(rows, "id int, b string, r string, k boolean, s boolean")
+    log = relay.relayed(df, F.col("b"), F.col("r"), F.col("k"), F.col("s"), most=10, most_rewrite=8)
+    got = {r["id"]: (r["status"], r["outcome"], r["forwarded"], r["bytes_in"], r["bytes_out"]) for r in log.collect()}
+    assert got == {
+        1: (502, "refused", None, 11, 0), 2: (200, "killed", "x" * 5, 5, 5), 3: (200, "passed", "x" * 9, 9, 9), 4: (200, "kept", "x" * 5, 5, 5), 5: (200, "shadow", "x" * 5, 5, 5),
+        6: (200, "rewritten", "é", 5, 2), 7: (200, "rewritten", "new", 0, 3), 8: (502, "refused", None, 11, 0), 9: (200, "rewritten", "n", 8, 1), 10: (200, "passed", "x" * 10, 10, 10),
+    }
+    assert {r["outcome"]: r["requests"] for r in relay.totals(log).collect()} == {"refused": 2, "killed": 1, "passed": 2, "kept": 1, "shadow": 1, "rewritten": 3}
+    assert sum(r["requests"] for r in relay.totals(log.limit(0)).collect()) == 0
