@@ -273,10 +273,18 @@ def search_within(spark, d):
     return search.search_within(asked(spark, d)).select("doc_id", "found")
 
 
-@query("header_sanitise", "SELECT event_id, 'accept=a,X-Id=' || event_id::VARCHAR AS kept FROM events")
+HEADERS = ["Connection", "accept", "Content-Length", "X-Id", "TE", "Keep-Alive", "Proxy-Authenticate", "Trailer", "Host", "UPGRADE", "x-te", "Transfer-encoding", "proxy-authorization"]
+
+
+@query(
+    "header_sanitise",
+    f"""SELECT event_id, array_to_string(list_transform(list_filter(list_transform(range(6), lambda i: {{'name': {HEADERS}[(event_id * (i + 1) + 3 * i) % 13 + 1], 'value': event_type || i}}),
+  lambda h: lower(h.name) NOT IN ('connection', 'keep-alive', 'proxy-authenticate', 'proxy-authorization', 'te', 'trailer', 'transfer-encoding', 'upgrade', 'content-length')), lambda h: h.name || '=' || h.value), ',') AS kept FROM events""",
+)
 def header_sanitise(spark, d):
-    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
-    headers = F.array(pair("Connection", F.lit("close")), pair("accept", F.lit("a")), pair("Content-Length", F.lit("3")), pair("X-Id", F.col("event_id").cast("string")), pair("TE", F.lit("x")))
+    """Six headers of each event, by its id and type, some of them more than once."""
+    names, k = F.array(*map(F.lit, HEADERS)), F.col("event_id")
+    headers = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.struct(F.get(names, ((k * (i + 1) + 3 * i) % 13).cast("int")).alias("name"), F.concat("event_type", i.cast("string")).alias("value")))
     return read(spark, d, "events").select("event_id", F.array_join(F.transform(X.forwarded_headers(headers), lambda h: F.concat(h["name"], F.lit("="), h["value"])), ",").alias("kept"))
 
 
@@ -285,6 +293,10 @@ def embedded_json(spark, d):
     return read(spark, d, "events").select("event_id", X.embedded_json(F.concat(F.lit("Sure: "), F.col("props"), F.lit(" done."))).alias("found"))
 
 
-@query("version_normalise", "SELECT event_id, '1.2.' || event_id::VARCHAR AS version FROM events")
+@query("version_normalise", "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN '' ELSE (event_id % 7)::VARCHAR || '.' END || event_id::VARCHAR || CASE WHEN event_id % 5 = 0 THEN '-' || event_type ELSE '' END AS version FROM events")
 def version_normalise(spark, d):
-    return read(spark, d, "events").select("event_id", X.normalized_version(F.concat(F.lit("v1.2."), F.col("event_id").cast("string"), F.lit(" (build)"))).alias("version"))
+    """Versions with and without a leading v, blanks around, words after, and tags of their own."""
+    k = F.col("event_id")
+    own = F.concat(F.when(k % 3 == 1, F.lit("")).otherwise(F.concat((k % 7).cast("string"), F.lit("."))), k.cast("string"), F.when(k % 5 == 0, F.concat(F.lit("-"), "event_type")).otherwise(""))
+    said = F.concat(F.when(k % 4 == 0, "  ").otherwise(""), F.when(k % 2 == 0, "v").otherwise(""), own, F.when(k % 3 == 0, F.concat(F.lit(" v2 "), "event_type")).otherwise(""))
+    return read(spark, d, "events").select("event_id", X.normalized_version(said).alias("version"))
