@@ -90,14 +90,16 @@ def partial_tiles(rows: DataFrame, anchors: DataFrame, cells: int, groups: int)
     """The product of every row shard and anchor shard, chunk by chunk of their dimensions.
 
     A row shard goes to one of `cells` and to every group of anchor shards, an anchor shard to its group
-    in every cell: so a task holds a few anchor shards, and row shards stream past them.
+    in every cell: so a task holds a few anchor shards, and row shards stream past them. Blocks are always
+    shuffled: the planner knows the size of the anchors' file, not that of their copies in all cells, and
+    would broadcast those through the driver.
     """
     left = rows.select(F.col("shard").alias("i"), "chunk", "n", "ids", "labels", "part", F.pmod(F.xxhash64("shard"), F.lit(cells)).alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
     right = anchors.select(
         F.col("shard").alias("j"), F.col("chunk").alias("_chunk"), F.col("n").alias("m"), F.col("ids").alias("anchors"), F.col("labels").alias("kinds"), F.col("part").alias("other"),
         F.pmod(F.xxhash64("shard"), F.lit(groups)).alias("_group"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("_cell"),
     )
-    met = left.join(right, (F.col("chunk") == F.col("_chunk")) & (F.col("cell") == F.col("_cell")) & (F.col("group") == F.col("_group")))
+    met = left.join(right.hint("merge"), (F.col("chunk") == F.col("_chunk")) & (F.col("cell") == F.col("_cell")) & (F.col("group") == F.col("_group")))
     kept = ["i", "j", "chunk", "ids", "labels", "anchors", "kinds"]
 
     def run(batches):

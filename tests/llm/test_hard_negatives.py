@@ -63,6 +63,16 @@ def test_many_small_shards(spark, monkeypatch):
     assert got == brute(rows, every=50) and got
 
 
+def test_blocks_are_never_broadcast(spark):
+    """Their copies in all cells grow with the square of the table, and the driver would hold them."""
+    df = spark.createDataFrame(fixture(), SCHEMA)
+    rows = H.written(H.packed(H.partakers(df, "vec_id", "label", "embedding", 256), 64), "rows")
+    tiles = H.partial_tiles(rows, rows, 3, 2)
+    assert tiles.count() > 100
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_clashes_empties_and_too_large(spark):
     rows = fixture()[:200]
     df = spark.createDataFrame(rows, SCHEMA)
