@@ -201,28 +201,47 @@ SCHEMA = pa.schema([(x.split()[0], ARROW[x.split()[1]]) for x in ROW.split(", ")
 
 
 class Lane(MutableSet):
-    """A map state as a set of keys."""
+    """A session's map state as a set of keys: read whole at the first question, and only if it holds some;
+    what has changed is written back at once."""
 
-    def __init__(self, state):
-        self.state = state
+    def __init__(self, state, held: int):
+        self.state, self.held = state, held
+
+    def keys(self) -> set[str]:
+        if not hasattr(self, "was"):
+            self.was = {k[0] for k in self.state.keys()} if self.held else set()
+            self.now = set(self.was)
+        return self.now
 
     def __contains__(self, key):
-        return self.state.containsKey((key,))
+        return key in self.keys()
 
     def add(self, key):
-        self.state.updateValue((key,), (True,))
+        self.keys().add(key)
 
     def discard(self, key):
-        self.state.removeKey((key,))
+        self.keys().discard(key)
 
     def clear(self):
-        self.state.clear()
+        self.keys().clear()
 
     def __iter__(self):
-        return (k[0] for k in self.state.keys())
+        return iter(self.keys())
 
     def __len__(self):
-        return sum(1 for _ in self)
+        return len(self.keys())
+
+    def write(self) -> None:
+        if hasattr(self, "was"):
+            for key in self.was - self.now:
+                self.state.removeKey((key,))
+            for key in self.now - self.was:
+                self.state.updateValue((key,), (True,))
+
+
+def due(s: Session, limits: Limits) -> set[int]:
+    """The timers of a session: the end of its idle time, and that of an open breaker."""
+    return set() if s.last_at == NEVER else {s.last_at + limits.idle_ms} | ({s.open_until} if s.tripped_by >= 0 else set())
 
 
 def stream_log(events: DataFrame, delay: str = "1 second", limits: Limits = Limits()) -> DataFrame:
@@ -232,54 +251,57 @@ def stream_log(events: DataFrame, delay: str = "1 second", limits: Limits = Limi
     at the end of a session's idle time, fire when the watermark (the latest event less `delay`) has passed;
     until then the next event sees to it, by the same function. Later events than the watermark are dropped.
     """
-    import pandas as pd
+    from pyspark.sql import Row
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+    made = Row(*COLUMNS)
+
     class Sessions(StatefulProcessor):
+        """Every call to the state is a round trip to the JVM, so a session is read once and its changes are written
+        once in a micro-batch. Its timers are told by its state, and are never listed."""
+
         def init(self, handle):
             self.handle = handle
-            self.kept, self.lane = handle.getValueState("session", STATE), Lane(handle.getMapState("lane", "key string", "held boolean"))
+            self.kept, self.lanes = handle.getValueState("session", STATE), handle.getMapState("lane", "key string", "held boolean")
 
-        def state(self):
-            return Session(*self.kept.get()) if self.kept.exists() else Session()
+        def held(self) -> tuple[Session, Lane]:
+            values = self.kept.get()
+            s = Session() if values is None else Session(*values)
+            return s, Lane(self.lanes, s.lane)
 
-        def keep(self, s: Session) -> None:
-            for t in list(self.handle.listTimers()):
+        def keep(self, before: Session, s: Session, lane: Lane, fired: int | None = None) -> None:
+            for t in due(before, limits) - due(s, limits) - {fired}:  # the one that fired is deleted after it
                 self.handle.deleteTimer(t)
-            if s.last_at == NEVER:
+            for t in due(s, limits) - due(before, limits):
+                self.handle.registerTimer(t)
+            lane.write()
+            if s.last_at != NEVER:
+                self.kept.update(astuple(s))
+            elif before.last_at != NEVER:
                 self.kept.clear()
-                self.lane.clear()
-                return
-            self.kept.update(astuple(s))
-            self.handle.registerTimer(s.last_at + limits.idle_ms)
-            if s.tripped_by >= 0:
-                self.handle.registerTimer(s.open_until)
-
-        def frame(self, out):
-            return pd.DataFrame(out, columns=COLUMNS)
 
         def handleInputRows(self, key, rows, timerValues):
-            none = lambda x: None if pd.isna(x) else x
-            whole = lambda x: None if pd.isna(x) else int(x)
-            s, out = self.state(), []
-            for r in pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable").itertuples(index=False):
-                s, made = step(int(key[0]), s, self.lane, Event(int(r.seq), int(r.at), r.kind, whole(r.number), whole(r.size), whole(r.place), none(r.key), none(r.done)), limits)
-                out += made
-            self.keep(s)
-            yield self.frame(out)
+            before, lane = self.held()
+            s, out = before, []
+            for r in sorted(rows, key=lambda r: (r.at, r.seq)):
+                s, more = step(key[0], s, lane, Event(r.seq, r.at, r.kind, r.number, r.size, r.place, r.key, r.done), limits)
+                out += more
+            self.keep(before, s, lane)
+            return iter([made(*x) for x in out])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            at = int(expiredTimerInfo.getExpiryTimeInMs())
-            s, out = closes(int(key[0]), self.state(), at)
+            at = expiredTimerInfo.getExpiryTimeInMs()
+            before, lane = self.held()
+            s, out = closes(key[0], before, at)
             if expired(s, at, limits):
-                out.append(row(int(key[0]), Session(), s.last_seq, s.last_at, "expired"))
+                out.append(row(key[0], Session(), s.last_seq, s.last_at, "expired"))
                 s = Session()
-            self.keep(s)
-            if out:
-                yield self.frame(out)
+                lane.clear()
+            self.keep(before, s, lane, at)
+            return iter([made(*x) for x in out])
 
         def close(self):
             pass
 
     rows = known(events).withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", delay)
-    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=Sessions(), outputStructType=ROW, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("session_id").transformWithState(statefulProcessor=Sessions(), outputStructType=ROW, outputMode="Append", timeMode="EventTime")

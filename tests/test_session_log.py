@@ -96,3 +96,50 @@ def test_batch_equals_a_walk_with_odd_rows(spark):
         want += out + ([L.row(session, L.Session(), s.last_seq, s.last_at, "expired")] if L.expired(s, 2_900_000, LIMITS) else [])
     assert [x[3] for x in got] == [x[3] for x in sorted((r[0], r[1], r[2], str(r)) for r in want)]
     assert L.batch_log(df.limit(0), water, LIMITS).count() == 0
+
+
+class Counted:
+    """A map state that counts what is asked of it."""
+
+    def __init__(self, *keys):
+        self.held, self.calls = set(keys), []
+
+    def keys(self):
+        self.calls.append("keys")
+        return iter([(k,) for k in self.held])
+
+    def containsKey(self, key):
+        self.calls.append("contains")
+        return key[0] in self.held
+
+    def updateValue(self, key, value):
+        self.calls.append("update")
+        self.held.add(key[0])
+
+    def removeKey(self, key):
+        self.calls.append("remove")
+        self.held.discard(key[0])
+
+
+def test_a_lane_is_read_once_and_its_changes_written_once():
+    """Every call is a round trip to the JVM: they are not as many as the events."""
+    state = Counted("a", "b")
+    lane = L.Lane(state, 2)
+    for _ in range(100):
+        assert "a" in lane and "c" not in lane
+        lane.add("c")
+        lane.discard("c")
+    lane.discard("a")
+    lane.add("d")
+    lane.write()
+    assert sorted(state.calls) == ["keys", "remove", "update"] and state.held == {"b", "d"}
+    empty = Counted()
+    lane = L.Lane(empty, 0)
+    assert "a" not in lane
+    lane.write()
+    assert empty.calls == []
+
+
+def test_timers_follow_from_the_state():
+    s = L.Session(last_at=100, open_until=700, tripped_by=3)
+    assert L.due(s, LIMITS) == {500_100, 700} and L.due(L.closes(7, s, 700)[0], LIMITS) == {500_100} and L.due(L.Session(), LIMITS) == set()
