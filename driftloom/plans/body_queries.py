@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import text as X
 from ..operators import budget, relay, render, segments
 from ..operators.segments import KEY
@@ -79,6 +80,11 @@ def bodies(spark, d):
     return read(spark, d, "documents").select(doc.alias(KEY), body.alias("body"), t.alias("text"), F.array(*kinds).alias("kinds"))
 
 
+def messages(spark, d):
+    """The messages of all bodies, read once and kept in the shared folder: segments are made of them and joined to them."""
+    return scratch.written(wire.read_bodies(bodies(spark, d)), "messages")
+
+
 BODY = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, 'x') AS lang FROM documents),
 x AS (SELECT *, (doc_id + 3 * k) % 7 AS c FROM (SELECT *, unnest(range(0, doc_id % {EXCHANGES} + 1)) AS k FROM d)),
 y AS (SELECT doc_id, t, lang, k, c, j FROM x JOIN (VALUES (0, 0), (0, 1), (0, 2), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (5, 1), (6, 0)) v(c, j) USING (c)
@@ -119,20 +125,20 @@ def block_classes(spark, d):
 FROM m JOIN e ON e.doc_id = m.doc_id AND e.k = m.k AND e.g = m.g WHERE (m.c = 6 AND strlen(to_json(said)::VARCHAR) > 256) OR (m.c = 0 AND m.j = 2 AND strlen(blocks[1]) > 256)""",
 )
 def squash_targets(spark, d):
-    m = wire.read_bodies(bodies(spark, d))
+    m = messages(spark, d)
     found = wire.replaceable_blocks(segments.segment_table(m), m)
     return found.select(KEY, F.col("seg_index").cast("int").alias("seg_index"), F.col("msg_index").cast("int").alias("msg_index"), "block_index", "original_tokens", "slot")
 
 
 @query("tool_names", BODY + "SELECT doc_id AS session_id, e.seg_index::INT AS seg_index, lang AS tool, 't' || doc_id || '_' || k || 'a' AS tool_use_id FROM e JOIN d USING (doc_id) WHERE kind = 'tool_pair'")
 def tool_names(spark, d):
-    m = wire.read_bodies(bodies(spark, d))
+    m = messages(spark, d)
     return render.tool_names(segments.segment_table(m), m).select(KEY, F.col("seg_index").cast("int").alias("seg_index"), "tool", "tool_use_id")
 
 
 @query("reasoning_shed", BODY + "SELECT doc_id AS session_id, seg_index::INT AS seg_index, shed FROM e WHERE kind = 'assistant_turn'")
 def reasoning_shed(spark, d):
-    m = wire.read_bodies(bodies(spark, d))
+    m = messages(spark, d)
     s = render.reasoning_shed(segments.segment_table(m), m).where("kind = 'assistant_turn'")
     return s.select(KEY, F.col("seg_index").cast("int").alias("seg_index"), "shed")
 
@@ -148,7 +154,7 @@ l AS (SELECT *, old AND rest2 - coalesce(sum(tokens) FILTER (old) OVER (PARTITIO
 SELECT doc_id AS session_id, 1 AS rung, seg_index::INT AS seg_index, shed AS tokens FROM l WHERE first UNION ALL SELECT doc_id, 2, seg_index::INT, tokens FROM l WHERE second UNION ALL SELECT doc_id, 3, seg_index::INT, tokens FROM l WHERE third""",
 )
 def fallback_rungs(spark, d):
-    m = wire.read_bodies(bodies(spark, d))
+    m = messages(spark, d)
     s = render.reasoning_shed(segments.with_salience(segments.segment_table(m)), m)
     return budget.drop_ladder(s, F.lit(256)).select(KEY, "rung", F.col("seg_index").cast("int").alias("seg_index"), "tokens")
 
