@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import jsontext, markup
 from ..functions import text as X
 from ..operators import budget, dedup, near_diff, scoring, segments
+from ..scratch import written
 
 ON_PATH, OFF_PATH = "on_path", "off_path"
 MOST_REVERTS = 2
@@ -105,7 +106,9 @@ def back_references(leaves: DataFrame) -> DataFrame:
 
 
 def differences(leaves: DataFrame) -> DataFrame:
-    """Last, as its bases have to be what stays visible: leaves without a carried original."""
+    """Last, as its bases have to be what stays visible: leaves without a carried original. The leaves are written
+    first: they are read twice here, and a filter on them would repeat all passes before."""
+    leaves = written(leaves, "leaves")
     bare = leaves.where("carried is null").select("session_id", F.col("seg_index").alias("seq"), "tool", "content")
     made = near_diff.sequential_diffs(bare).where("diff is not null").select("session_id", F.col("seq").alias("seg_index"), "diff")
     joined = leaves.join(made, ["session_id", "seg_index"], "left")
@@ -132,9 +135,10 @@ def deterministic() -> Plan:
 
 
 def fast_lane(leaves: DataFrame) -> DataFrame:
-    """Leaves of at most LANE_BYTES, cleaned on the path; only those that got shorter."""
+    """Leaves of at most LANE_BYTES, cleaned on the path; only those that got shorter. They are written before they are
+    compared: the optimizer would put every pass in place of its result, and again in that of the one before."""
     small = leaves.where(F.octet_length("content") <= LANE_BYTES)
-    return deterministic().on_path().run(small).where(F.octet_length("content") < F.octet_length("raw"))
+    return written(deterministic().on_path().run(small), "lane").where(F.octet_length("content") < F.octet_length("raw"))
 
 
 def preferred(leaves: DataFrame) -> DataFrame:

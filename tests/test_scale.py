@@ -2,7 +2,8 @@
 
 from harness import DATA
 
-from driftloom.plans import body_queries
+from driftloom import scratch
+from driftloom.plans import body_queries, pass_queries, passes
 
 
 def plan(df):
@@ -12,3 +13,13 @@ def plan(df):
 def test_bodies_are_read_once(spark):
     for name in ("tool_names", "squash_targets", "reasoning_shed", "fallback_rungs"):
         assert "MapInArrow" not in plan(body_queries.QUERIES[name](spark, f"{DATA}/sf0.001")), name
+
+
+def test_passes_are_run_once(spark, monkeypatch):
+    """Neither a filter on their result nor its second reader repeats them."""
+    made = []
+    monkeypatch.setattr(passes, "written", lambda df, label: made.append(plan(df)) or scratch.written(df, label))
+    for name, most in (("fast_lane", 12), ("recode_chain", 150)):
+        made.clear()
+        assert plan(pass_queries.QUERIES[name](spark, f"{DATA}/sf0.001")).count("minify_udf") == 0, name
+        assert len(made) == 1 and made[0].count("minify_udf(") == 1 and made[0].count("regexp_replace") <= most, name
