@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.chunks import by_chunks
 from ..functions.text import passages
 
 K1, B = 1.2, 0.75
@@ -48,7 +49,7 @@ def passage_scores(found: list[str], query: str) -> list[dict]:
 @F.arrow_udf(SCORES)
 def scores_udf(found: pa.Array, queries: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("score", pa.float64()), ("idx", pa.int32())]))
-    return pa.array([passage_scores(p or [], q or "") for p, q in zip(found.to_pylist(), queries.to_pylist(), strict=True)], kind)
+    return by_chunks(lambda p, q: passage_scores(p or [], q or ""), kind, found, queries)
 
 
 def with_scores(docs: DataFrame, doc: str = "doc", query: str = "query") -> DataFrame:
