@@ -21,6 +21,13 @@ def price_table(spark: SparkSession, models: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "model string, base double, w double, r double, floor long")
 
 
+def to_digits(x: Column | str, digits: int) -> Column:
+    """x to so many decimal digits as SQL rounds a double: its product with the power of ten goes to the nearest
+    whole number, halves away from zero. F.round takes the shortest decimal of x instead, and differs near a half."""
+    x, power = F.col(x) if isinstance(x, str) else x, F.lit(10.0**digits)
+    return F.round(x * power) / power
+
+
 def idle_seconds(last_ts: Column, now: Column) -> Column:
     return now - last_ts
 

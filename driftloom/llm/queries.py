@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.economics import to_digits
 from . import bpe, exact_dedup, filter_audit, hard_negatives, license_scan, mixing, pieces, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts
 from .common import documents, labels
 
@@ -55,7 +56,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mixing.mix_counts(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixing.mix_counts(docs).select("doc_id", "size", "source_size", to_digits("target", 6).alias("target"), "taken")
 
 
 OP6_SQL = """

@@ -8,6 +8,7 @@ import threading
 
 from pyspark.sql import functions as F
 
+from ..functions import economics as E
 from ..operators import decision_client as C
 from ..operators import working_state as W
 from ..operators.segments import KEY
@@ -99,7 +100,7 @@ TIMED = ("breaker_closed", "expired")
 
 def seen(rows):
     rows = rows.where(~F.col("kind").isin(*TIMED))
-    return rows.select(KEY, "seq", "kind", "turn", "prefix", F.round("remaining", 6).alias("remaining"), F.round("scale", 9).alias("scale"), "enabled", "trips", "floor", "closed", "used", "staged", "lane", "entered", F.col("left").alias("gone"))
+    return rows.select(KEY, "seq", "kind", "turn", "prefix", E.to_digits("remaining", 6).alias("remaining"), E.to_digits("scale", 9).alias("scale"), "enabled", "trips", "floor", "closed", "used", "staged", "lane", "entered", F.col("left").alias("gone"))
 
 
 def batch(spark, d):
@@ -127,7 +128,7 @@ def stream_session_log(spark, d):
 @query("calibration_taken", LOG + "SELECT session_id, seq, round(s.scale, 9) AS scale FROM log WHERE kind = 'usage'")
 def calibration_taken(spark, d):
     """The token scale after each response: only the first after a request moves it."""
-    return batch(spark, d).where("kind = 'usage'").select(KEY, "seq", F.round("scale", 9).alias("scale"))
+    return batch(spark, d).where("kind = 'usage'").select(KEY, "seq", E.to_digits("scale", 9).alias("scale"))
 
 
 @query("fast_lane_window", LOG + "SELECT session_id, seq, s.floor AS floor, NOT s.closed AS reachable FROM log WHERE kind IN ('request', 'bypass', 'evict')")

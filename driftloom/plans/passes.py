@@ -156,7 +156,7 @@ def continuous(hot: DataFrame) -> Plan:
         removed = F.col("token_estimate") - scoring.MARKER_TOKENS
         bust = E.bust_cost(F.col("suffix_tokens"), F.col("base"), F.col("w"), F.col("r"), F.col("alive"), F.col("cold"))
         value = E.npv(E.recurring_saving(F.col("n_turns"), removed, F.col("base"), F.col("r")), F.col("quality"), bust)
-        return rows.withColumn("npv", F.round(value, 9)).where(scoring.economics_gate(F.col("npv"), F.col("pinned"), F.col("chars"), F.col("is_huge_paste")))
+        return rows.withColumn("npv", E.to_digits(value, 9)).where(scoring.economics_gate(F.col("npv"), F.col("pinned"), F.col("chars"), F.col("is_huge_paste")))
 
     return Plan(
         (

@@ -54,7 +54,7 @@ def squash_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     per = priced(s.groupBy(KEY).agg(F.sum(E.scaled(F.col("token_estimate"), F.lit(1.1))).cast("long").alias("prefix")))
     out = scoring.decisions(per, scoring.candidates(s, F.lit(1.1)))
-    return out.select(KEY, "decision", "n_candidates", "prefix", "suffix", "removed", "head_offset", F.round("bust", 9).alias("bust"), F.round("recurring", 9).alias("recurring"), F.round("npv", 9).alias("npv"))
+    return out.select(KEY, "decision", "n_candidates", "prefix", "suffix", "removed", "head_offset", E.to_digits("bust", 9).alias("bust"), E.to_digits("recurring", 9).alias("recurring"), E.to_digits("npv", 9).alias("npv"))
 
 
 SEG = """
@@ -183,30 +183,30 @@ SIGNALS = ("salience", "recency", "freshness", "economics", "size", "content_typ
 
 @query("segment_scores", f"WITH {SEG}, {PRICE}, {SCORED} SELECT session_id, seg_index, round(salience, 9) AS salience, round(recency, 9) AS recency, round(freshness, 9) AS freshness, round(economics, 9) AS economics, round(size, 9) AS size, round(content_type, 9) AS content_type, round(access, 9) AS access_count, round(value, 9) AS value FROM scored")
 def segment_scores(spark, d):
-    value = F.when(F.col("value") > float("-inf"), F.round("value", 9))
-    return scored(spark, d).select(KEY, "seg_index", *[F.round(c, 9).alias(c) for c in SIGNALS], value.alias("value"))
+    value = F.when(F.col("value") > float("-inf"), E.to_digits("value", 9))
+    return scored(spark, d).select(KEY, "seg_index", *[E.to_digits(c, 9).alias(c) for c in SIGNALS], value.alias("value"))
 
 
 @query("quality_gain", f"WITH {SEG}, {PRICE}, {SCORED} SELECT session_id, seg_index, round(quality, 9) AS quality FROM scored")
 def quality_gain(spark, d):
-    return scored(spark, d).select(KEY, "seg_index", F.round("quality", 9).alias("quality"))
+    return scored(spark, d).select(KEY, "seg_index", E.to_digits("quality", 9).alias("quality"))
 
 
 @query("score_admission", f"WITH {SEG}, {PRICE}, {SCORED} SELECT session_id, seg_index FROM scored WHERE round(value, 9) >= 1.2::DOUBLE")
 def score_admission(spark, d):
-    return scored(spark, d).where(E.admitted(F.round("value", 9), 1.2)).select(KEY, "seg_index")
+    return scored(spark, d).where(E.admitted(E.to_digits("value", 9), 1.2)).select(KEY, "seg_index")
 
 
 @query("ladder_order", f"WITH {SEG}, {PRICE}, {SCORED} SELECT session_id, seg_index, row_number() OVER (PARTITION BY session_id ORDER BY round(value, 9) DESC NULLS LAST, seg_index) AS rung FROM scored")
 def ladder_order(spark, d):
-    ordered = scored(spark, d).withColumn("v", F.when(F.col("value") > float("-inf"), F.round("value", 9)))
+    ordered = scored(spark, d).withColumn("v", F.when(F.col("value") > float("-inf"), E.to_digits("value", 9)))
     return ordered.select(KEY, "seg_index", F.row_number().over(segments.by_session(F.desc_nulls_last("v"), "seg_index")).cast("long").alias("rung"))
 
 
 @query("batch_fold", f"WITH {SEG}, {PRICE}, {SCORED}, {BATCH} SELECT session_id, n_candidates, suffix, removed, head_offset, round(quality_sum, 9) AS quality_sum FROM batch")
 def batch_fold(spark, d):
     b = scoring.batches(scoring.candidates(scored(spark, d), F.lit(1.1)))
-    return b.select(KEY, "n_candidates", "suffix", "removed", "head_offset", F.round("quality_sum", 9).alias("quality_sum"))
+    return b.select(KEY, "n_candidates", "suffix", "removed", "head_offset", E.to_digits("quality_sum", 9).alias("quality_sum"))
 
 
 def money(spark, d):
@@ -220,22 +220,22 @@ MONEY = f"WITH {SEG}, {PRICE}, {SCORED}, {BATCH} SELECT session_id, "
 
 @query("bust_cost", MONEY + "round(bust, 9) AS bust FROM money")
 def bust_cost(spark, d):
-    return money(spark, d).select(KEY, F.round("bust", 9).alias("bust"))
+    return money(spark, d).select(KEY, E.to_digits("bust", 9).alias("bust"))
 
 
 @query("recurring_saving", MONEY + "round(recurring, 9) AS recurring FROM money")
 def recurring_saving(spark, d):
-    return money(spark, d).select(KEY, F.round("recurring", 9).alias("recurring"))
+    return money(spark, d).select(KEY, E.to_digits("recurring", 9).alias("recurring"))
 
 
 @query("break_even", MONEY + "CASE WHEN cold THEN 0.0::DOUBLE WHEN removed = 0 THEN -1.0::DOUBLE ELSE round(suffix::DOUBLE * (w - r) / (removed::DOUBLE * r), 6) END AS turns FROM money")
 def break_even(spark, d):
-    return money(spark, d).select(KEY, F.when(F.col("break_even") == float("inf"), F.lit(-1.0)).otherwise(F.round("break_even", 6)).alias("turns"))
+    return money(spark, d).select(KEY, F.when(F.col("break_even") == float("inf"), F.lit(-1.0)).otherwise(E.to_digits("break_even", 6)).alias("turns"))
 
 
 @query("npv", MONEY + "round(recurring + quality_sum - bust, 9) AS npv FROM money")
 def npv(spark, d):
-    return money(spark, d).select(KEY, F.round("npv", 9).alias("npv"))
+    return money(spark, d).select(KEY, E.to_digits("npv", 9).alias("npv"))
 
 
 @query("sub_floor", MONEY + "prefix, prefix - removed < floor AS sub_floor FROM money")
@@ -292,7 +292,7 @@ def economics_gate(spark, d):
     removed = F.col("token_estimate") - scoring.MARKER_TOKENS
     saving = E.recurring_saving(F.col("n_turns"), removed, F.col("base"), F.col("r"))
     bust = E.bust_cost(F.col("suffix_tokens"), F.col("base"), F.col("w"), F.col("r"), F.col("alive"), F.col("cold"))
-    rows = rows.withColumn("npv", F.round(E.npv(saving, F.col("quality"), bust), 9))
+    rows = rows.withColumn("npv", E.to_digits(E.npv(saving, F.col("quality"), bust), 9))
     return rows.select(KEY, "seg_index", "npv", scoring.economics_gate(F.col("npv"), F.col("pinned"), F.col("chars"), F.col("is_huge_paste")).alias("admitted"))
 
 

@@ -66,18 +66,18 @@ fold AS (SELECT session_id, turn, prefix, last_at, floor,
 def cache_warmth(spark, d):
     o = observations(spark, d).withColumn("last_at", F.lag("at").over(by_session("at", "seq"))).where("last_at is not null")
     ttl = F.lit(300.0)
-    return o.select("seq", F.round("last_at", 6).alias("last_at"), F.round(E.p_alive(F.col("last_at"), ttl, F.col("at")), 9).alias("alive"), E.is_cold(F.col("last_at"), ttl, F.col("at")).alias("cold"), (F.col("creation") + F.col("read")).alias("prefix"))
+    return o.select("seq", E.to_digits("last_at", 6).alias("last_at"), E.to_digits(E.p_alive(F.col("last_at"), ttl, F.col("at")), 9).alias("alive"), E.is_cold(F.col("last_at"), ttl, F.col("at")).alias("cold"), (F.col("creation") + F.col("read")).alias("prefix"))
 
 
 @query("token_scale_ewma", f"WITH {FOLDS} SELECT session_id, round(scale, 9) AS scale FROM fold")
 def token_scale_ewma(spark, d):
-    return session_state.batch_states(observations(spark, d)).select(KEY, F.round("scale", 9).alias("scale"))
+    return session_state.batch_states(observations(spark, d)).select(KEY, E.to_digits("scale", 9).alias("scale"))
 
 
 @query("remaining_turns", f"WITH {FOLDS} SELECT session_id, turn, round(remaining, 6) AS remaining FROM fold")
 def remaining_turns(spark, d):
     g = observations(spark, d).groupBy(KEY).agg(F.count(F.lit(1)).alias("turn"))
-    return g.select(KEY, "turn", F.round(E.fold_turns(F.col("turn")), 6).alias("remaining"))
+    return g.select(KEY, "turn", E.to_digits(E.fold_turns(F.col("turn")), 6).alias("remaining"))
 
 
 @query("breaker_trips", f"WITH {FOLDS} SELECT session_id, trips FROM fold")
@@ -97,7 +97,7 @@ STATE_SQL = f"WITH {FOLDS} SELECT session_id, turn, prefix, round(last_at, 6) AS
 
 
 def rounded(states):
-    return states.select(KEY, "turn", "prefix", F.round("last_at", 6).alias("last_at"), F.round("remaining", 6).alias("remaining"), F.round("scale", 9).alias("scale"), "trips", "floor")
+    return states.select(KEY, "turn", "prefix", E.to_digits("last_at", 6).alias("last_at"), E.to_digits("remaining", 6).alias("remaining"), E.to_digits("scale", 9).alias("scale"), "trips", "floor")
 
 
 @query("session_states", STATE_SQL)

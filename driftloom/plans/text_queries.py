@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import economics as E
 from ..functions import jsontext, markup
 from ..functions import text as X
 from ..operators import dedup, near_diff, search
@@ -247,7 +248,7 @@ sc AS (SELECT doc_id, idx, round(sum(times * ln((n - df + 0.5::DOUBLE) / (df + 0
 @query("bm25_topk", BM25 + " SELECT doc_id, idx, score, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS k FROM sc) WHERE k <= 5")
 def bm25_topk(spark, d):
     s = search.with_scores(asked(spark, d))
-    best = F.slice(search.ranked(F.transform("scores", lambda x: F.struct(F.round(x["score"], 6).alias("score"), x["idx"].alias("idx")))), 1, 5)
+    best = F.slice(search.ranked(F.transform("scores", lambda x: F.struct(E.to_digits(x["score"], 6).alias("score"), x["idx"].alias("idx")))), 1, 5)
     return s.select("doc_id", F.posexplode(best).alias("pos", "s")).select("doc_id", "s.idx", "s.score", (F.col("pos") + 1).cast("long").alias("k"))
 
 

@@ -28,6 +28,8 @@ from .session_state import OVERRUN, WARM_TURNS
 
 EVENT = "session_id long, seq long, at long, kind string, number long, size long, place long, key string, done boolean"
 NEVER = -(10**15)
+#: Event times as Spark sees them are so far ahead (317 years): its watermark starts at 0, and drops what is not later.
+AHEAD = 10**13
 
 
 @dataclass(frozen=True)
@@ -249,7 +251,8 @@ def stream_log(events: DataFrame, delay: str = "1 second", limits: Limits = Limi
 
     Scalars are one value state, the lane is a map state by key. A timer at the end of an open breaker, and one
     at the end of a session's idle time, fire when the watermark (the latest event less `delay`) has passed;
-    until then the next event sees to it, by the same function. Later events than the watermark are dropped.
+    until then the next event sees to it, by the same function. Events behind the watermark are dropped; times
+    may be 0 or less, down to -AHEAD.
     """
     from pyspark.sql import Row
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -271,9 +274,9 @@ def stream_log(events: DataFrame, delay: str = "1 second", limits: Limits = Limi
 
         def keep(self, before: Session, s: Session, lane: Lane, fired: int | None = None) -> None:
             for t in due(before, limits) - due(s, limits) - {fired}:  # the one that fired is deleted after it
-                self.handle.deleteTimer(t)
+                self.handle.deleteTimer(t + AHEAD)
             for t in due(s, limits) - due(before, limits):
-                self.handle.registerTimer(t)
+                self.handle.registerTimer(t + AHEAD)
             lane.write()
             if s.last_at != NEVER:
                 self.kept.update(astuple(s))
@@ -290,7 +293,7 @@ def stream_log(events: DataFrame, delay: str = "1 second", limits: Limits = Limi
             return iter([made(*x) for x in out])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            at = expiredTimerInfo.getExpiryTimeInMs()
+            at = expiredTimerInfo.getExpiryTimeInMs() - AHEAD
             before, lane = self.held()
             s, out = closes(key[0], before, at)
             if expired(s, at, limits):
@@ -303,5 +306,5 @@ def stream_log(events: DataFrame, delay: str = "1 second", limits: Limits = Limi
         def close(self):
             pass
 
-    rows = known(events).withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", delay)
+    rows = known(events).withColumn("ts", F.timestamp_millis(F.col("at") + AHEAD)).withWatermark("ts", delay)
     return rows.groupBy("session_id").transformWithState(statefulProcessor=Sessions(), outputStructType=ROW, outputMode="Append", timeMode="EventTime")

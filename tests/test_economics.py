@@ -50,3 +50,17 @@ def test_vetoes_and_targets(spark):
     assert one(spark, E.quality_gain(lit(float("-inf")))) == 0.0
     assert one(spark, E.hard_target(lit(4000), lit(4000))) == 256
     assert one(spark, E.soft_pressure(lit(1000), lit(400))) is False
+
+
+def test_digits_are_those_of_sql(spark):
+    """Folded ratios end near halves of the last digit; F.round differs from SQL on some of them."""
+    import duckdb
+
+    near = [0.1271484375, 0.16636718749999999, 1.0364383485, 1.1287890624999999]
+    folded = [0.7 * (a / 512) + 0.3 * (b / 512) for a in range(0, 2000, 7) for b in range(0, 2000, 13)]
+    values = near + folded + [-x for x in near] + [0.0, 1e-12, 2.5e-9, -2.5e-9, 123456789.0123456785, 1e18, float("inf"), float("-inf"), None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE v AS SELECT unnest(?::DOUBLE[]) AS x", [values])
+    want = [r[0] for r in con.execute("SELECT round(x, 9) FROM v").fetchall()]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select(E.to_digits("x", 9).alias("to"), F.round("x", 9).alias("by_decimal")).collect()
+    assert [r["to"] for r in rows] == want and [r["by_decimal"] for r in rows] != want

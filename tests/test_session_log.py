@@ -2,7 +2,12 @@
 
 import random
 
+import duckdb
+from harness import rows_of, spark_rows
+
+from driftloom.plans import event_queries
 from driftloom.streaming import session_log as L
+from driftloom.streaming.slices import run_in_slices
 
 LIMITS = L.Limits(cooldown_ms=60_000, idle_ms=500_000)
 NAMES = [x.split()[0] for x in L.EVENT.split(", ")]
@@ -143,3 +148,29 @@ def test_a_lane_is_read_once_and_its_changes_written_once():
 def test_timers_follow_from_the_state():
     s = L.Session(last_at=100, open_until=700, tripped_by=3)
     assert L.due(s, LIMITS) == {500_100, 700} and L.due(L.closes(7, s, 700)[0], LIMITS) == {500_100} and L.due(L.Session(), LIMITS) == set()
+
+
+def test_a_stream_takes_events_at_and_before_zero(spark):
+    """Its watermark starts at 0, which the first events are not later than; its timers fire there too."""
+    rows = [(k, 10 * k + i, at, *e) for k in range(3) for i, (at, *e) in enumerate([
+        (-900_000, "usage", 10, 0, 1, None, None), (-899_999, "usage", 0, 0, 1, None, None), (k - 1, "request", 3, 100, 5, None, True), (0, "plan", 5, None, None, "a", None), (70_000, "request", 4, 90, 6, "b", True),
+    ])]
+    rows.append((9, 99, 2_000_000, "bypass", None, None, None, None, None))
+    df = spark.createDataFrame(rows, L.EVENT)
+    water = spark.createDataFrame([(1_999_000,)], "until long")
+    got = run_in_slices(spark, [df.where("at < 0"), df.where("at >= 0")], lambda s: L.stream_log(s, limits=LIMITS), L.ROW, "append")[0].drop("batch")
+    want = spark_rows(L.batch_log(df, water, LIMITS))
+    assert spark_rows(got) == want and len(want) == len(rows) + 3 + 6
+
+
+def test_log_equals_sql_from_the_first_event_on_and_near_halves(spark, tmp_path):
+    """An event in the first 0.6 s is at 0; 0.7 * 90 / 512 + 0.3 * 7 / 512 is 0.1271484375, which SQL rounds down."""
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT k::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(us::BIGINT) AS ts, u::BIGINT AS user_id, type AS event_type, v::DOUBLE AS value, '{}' AS props FROM (VALUES
+      (0, 0, 1, 'error', 1.5), (1, 0, 2, 'click', 2.5), (2, 599999, 2, 'view', 3.5), (3, 600000, 1, 'signup', 4.5), (4, 1200000000000, 2, 'click', 5.5),
+      (462, 1200000600000, 3, 'click', 1.0), (463, 1200001200000, 3, 'purchase', 8.1), (962, 1200001800000, 3, 'click', 1.0), (963, 1200002400000, 3, 'view', 3.0)) AS t(k, us, u, type, v)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    for name in ("session_log", "stream_session_log", "calibration_taken"):
+        out = con.execute(event_queries.ORACLES[name])
+        want = rows_of([c[0] for c in out.description], out.fetchall())
+        assert spark_rows(event_queries.QUERIES[name](spark, str(tmp_path))) == want and "0.127148437" in str(want), name
